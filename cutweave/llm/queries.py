@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import CHAT_SQL, rotate_perspectives
 from .common import table
 from .mixing import MIX_SQL, systematic_mix
+from .toxicity import score_table
 from .warc import WARC_SQL, archive_round_trip
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_table(spark, sf_dir)
+
+
 def op8_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate_perspectives(table(spark, sf_dir, "conversations"))
 
@@ -25,7 +30,7 @@ def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op8_chat_perspectives, op9_warc_chain, op10_systematic_mix)
+    f.__name__: f for f in (op4_toxicity, op8_chat_perspectives, op9_warc_chain, op10_systematic_mix)
 }
 
 ORACLES: dict[str, str] = {
