@@ -25,6 +25,8 @@ from .common import Scratch
 
 MAGIC = "WARC/1.1\r\n"
 MIN_REVISIT = 1000
+#: Payloads with copies (some 100 bytes each) that may be broadcast to the writers.
+BROADCAST_ROWS = 200_000
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -36,7 +38,9 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = rows.withColumn("digest", F.sha1(F.col("payload").cast("binary"))).withColumn("n_bytes", F.octet_length("payload").cast("long"))
     large = rows.where(F.col("n_bytes") >= min_revisit)
     heads = large.groupBy("digest", "n_bytes").agg(F.max("page_id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    out = rows.join(heads, ["digest", "n_bytes"], "left")
+    heads = Scratch(pages.sparkSession).write(heads)
+    small = heads.count() <= BROADCAST_ROWS  # else the pages are shuffled by digest
+    out = rows.join(F.broadcast(heads) if small else heads, ["digest", "n_bytes"], "left")
     return out.withColumn("response_id", F.when(F.col("head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("head")), F.col("head"))).drop("head")
 
 
