@@ -9,10 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import CHAT_SQL, rotate_perspectives
 from .common import table
 from .mixing import MIX_SQL, systematic_mix
+from .tokencount import token_counts
 from .toxicity import score_table
+from .unigram import round_trip_table
 from .warc import WARC_SQL, archive_round_trip
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip_table(spark, sf_dir)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_table(spark, sf_dir)
 
@@ -30,7 +40,7 @@ def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_toxicity, op8_chat_perspectives, op9_warc_chain, op10_systematic_mix)
+    f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op4_toxicity, op8_chat_perspectives, op9_warc_chain, op10_systematic_mix)
 }
 
 ORACLES: dict[str, str] = {
