@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import CHAT_SQL, rotate_perspectives
 from .common import table
+from .metricjoin import EMBEDDING_SQL, embedding_duplicates
 from .mixing import MIX_SQL, systematic_mix
 from .neardup import NEARDUP_SQL, near_duplicates
 from .tokencount import token_counts
@@ -32,6 +33,10 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate_perspectives(table(spark, sf_dir, "conversations"))
 
@@ -45,11 +50,12 @@ def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op4_toxicity, op6_near_duplicates, op8_chat_perspectives, op9_warc_chain, op10_systematic_mix)
+    f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op4_toxicity, op6_near_duplicates, op7_embedding_duplicates, op8_chat_perspectives, op9_warc_chain, op10_systematic_mix)
 }
 
 ORACLES: dict[str, str] = {
     "op6_near_duplicates": NEARDUP_SQL,
+    "op7_embedding_duplicates": EMBEDDING_SQL,
     "op8_chat_perspectives": CHAT_SQL,
     "op9_warc_chain": WARC_SQL,
     "op10_systematic_mix": MIX_SQL,
