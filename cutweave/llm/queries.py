@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .chat import CHAT_SQL, rotate_perspectives
 from .common import table
@@ -13,6 +14,7 @@ from .mixing import MIX_SQL, systematic_mix
 from .neardup import NEARDUP_SQL, near_duplicates
 from .tokencount import token_counts
 from .toxicity import score_table
+from .topk import TOPK_SQL, exact_top_k
 from .unigram import round_trip_table
 from .warc import WARC_SQL, archive_round_trip
 
@@ -25,6 +27,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_table(spark, sf_dir)
 
@@ -50,10 +56,11 @@ def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op4_toxicity, op6_near_duplicates, op7_embedding_duplicates, op8_chat_perspectives, op9_warc_chain, op10_systematic_mix)
+    f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_exact_top_k, op4_toxicity, op6_near_duplicates, op7_embedding_duplicates, op8_chat_perspectives, op9_warc_chain, op10_systematic_mix)
 }
 
 ORACLES: dict[str, str] = {
+    "op3_exact_top_k": TOPK_SQL,
     "op6_near_duplicates": NEARDUP_SQL,
     "op7_embedding_duplicates": EMBEDDING_SQL,
     "op8_chat_perspectives": CHAT_SQL,
