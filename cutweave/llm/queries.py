@@ -12,6 +12,7 @@ from .common import table
 from .metricjoin import EMBEDDING_SQL, embedding_duplicates
 from .mixing import MIX_SQL, systematic_mix
 from .neardup import NEARDUP_SQL, near_duplicates
+from .ppm import score_documents
 from .tokencount import token_counts
 from .toxicity import score_table
 from .topk import TOPK_SQL, exact_top_k
@@ -35,6 +36,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_table(spark, sf_dir)
 
 
+def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -56,7 +61,7 @@ def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_exact_top_k, op4_toxicity, op6_near_duplicates, op7_embedding_duplicates, op8_chat_perspectives, op9_warc_chain, op10_systematic_mix)
+    f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_exact_top_k, op4_toxicity, op5_ppm, op6_near_duplicates, op7_embedding_duplicates, op8_chat_perspectives, op9_warc_chain, op10_systematic_mix)
 }
 
 ORACLES: dict[str, str] = {
