@@ -1,10 +1,399 @@
-"""Queries of the bond engine, with the SQL that an independent engine can run for them."""
+"""Queries of the bond engine, each with the SQL that an independent engine can run for the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.columns import as_line, as_set, base_name, line_size, parse_ids
+from ..operators import bonds as B
+from ..operators import cuts as C
+from ..operators import graph as G
+from ..operators import reports as R
+from ..sources import generators, readers, writers
+from ..streaming.cuts import distinct_cuts
+from . import derived as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def lines(spark: SparkSession, values: list[str]) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(values)), "line_no long, value string").coalesce(1)
+
+
+def values_sql(name: str, values: list[str]) -> str:
+    rows = ", ".join("({}, '{}')".format(i, v.replace("'", "''")) for i, v in enumerate(values))
+    return f"{name}(line_no, value) AS (VALUES {rows})"
+
+
+def text(c: str) -> F.Column:
+    return as_line(F.col(c)).alias(c)
+
+
+# sources ------------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT CAST(l_orderkey AS INTEGER) AS id, CAST(l_partkey AS INTEGER) AS src, CAST(l_suppkey AS INTEGER) AS dst FROM lineitem")
+def edge_scan(spark, sf):
+    rows = D.table(spark, sf, "lineitem").select(F.concat_ws(";", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("value"))
+    return readers.edge_lines(rows)
+
+
+@query("SELECT CAST(event_id AS INTEGER) AS id, CAST(user_id AS INTEGER) AS src, CAST(user_id % 7 AS INTEGER) AS dst FROM events WHERE CAST(day(ts) AS VARCHAR) > '1'")
+def osm_filter(spark, sf):
+    rows = D.table(spark, sf, "events").select("event_id", "user_id", F.col("user_id") % 7, "event_type", F.dayofmonth("ts").cast("string").alias("kind"))
+    return readers.osm_filter(rows)
+
+
+G6 = ["Bw", "C~", "D?{", "DQc", "E~~w", "G?`@fc"]
+_G6 = f"""{values_sql('l', G6)},
+c AS (SELECT line_no, ord(value[1]) - 63 AS n, value FROM l),
+s AS (SELECT line_no, n, i, ord(value[2 + i // 6]) - 63 AS six, 5 - i % 6 AS sh FROM c, range(0, 6 * 8) t(i) WHERE i < 6 * (length(value) - 1)),
+b AS (SELECT line_no, n, i FROM s WHERE (six >> sh) & 1 = 1),
+p AS (SELECT line_no, n, x.j AS dst, b.i - x.j * (x.j - 1) // 2 AS src FROM b JOIN range(1, 20) x(j) ON b.i >= x.j * (x.j - 1) // 2 AND b.i < x.j * (x.j + 1) // 2 WHERE x.j < n)
+SELECT line_no AS graph_id, CAST(n AS INTEGER) AS n, CAST(row_number() OVER (PARTITION BY line_no ORDER BY @) - 1 AS INTEGER) AS id, CAST(src AS INTEGER) AS src, CAST(dst AS INTEGER) AS dst FROM p"""
+
+
+def _g6(spark) -> DataFrame:
+    return lines(spark, G6).toDF("graph_id", "g6")
+
+
+@query("WITH " + _G6.replace("@)", "dst, src)"))
+def graph6_decode_col(spark, sf):
+    return readers.graph6_edges(_g6(spark), "col")
+
+
+@query("WITH " + _G6.replace("@)", "src, dst)"))
+def graph6_decode_row(spark, sf):
+    return readers.graph6_edges(_g6(spark), "row")
+
+
+CUT_LINES = ["3,1", "1,3", "2", "", "1,1", "1", "10,9,2", " 4 , 5 "]
+
+
+@query(f"WITH {values_sql('l', CUT_LINES)} SELECT line_no, array_to_string(list_transform(string_split(value, ','), lambda x: trim(x)), ',') AS edges, CASE WHEN value = '' THEN 0 ELSE len(string_split(value, ',')) END AS size FROM l")
+def cut_parse(spark, sf):
+    return readers.cut_lines(lines(spark, CUT_LINES)).select("line_no", text("edges"), F.size("edges").cast("long").alias("size"))
+
+
+NAME_LINES, LIST_LINES = ["7;1;2;roadA;x", "8;2;3;roadB;x", "9;3;4;roadA;y"], ["roadA;roadB;f1;f2;f3", "roadB;f1;f2;f3", "f1;f2;f3"]
+
+
+@query(f"""WITH {values_sql('n', NAME_LINES)}, {values_sql('l', LIST_LINES)},
+t AS (SELECT string_split(value, ';')[4] AS name, string_split(value, ';')[1] AS id, line_no FROM n QUALIFY row_number() OVER (PARTITION BY string_split(value, ';')[4] ORDER BY line_no DESC) = 1),
+p AS (SELECT line_no, unnest(string_split(value, ';')[1:-4]) AS name, generate_subscripts(string_split(value, ';')[1:-4], 1) AS pos FROM l)
+SELECT l.line_no, coalesce(string_agg(t.id, ',' ORDER BY p.pos), '') AS edges FROM l LEFT JOIN p ON p.line_no = l.line_no LEFT JOIN t ON t.name = p.name GROUP BY l.line_no""")
+def names_to_ids(spark, sf):
+    part = F.split("value", ";")
+    names = lines(spark, NAME_LINES).select(F.get(part, 0).cast("int").alias("id"), F.get(part, 3).alias("name"), "line_no")
+    return C.names_to_ids(names, readers.name_lists(lines(spark, LIST_LINES))).select("line_no", text("edges"))
+
+
+@query("SELECT 'lineitem' AS base, count(*) AS n FROM lineitem")
+def base_names(spark, sf):
+    rows = D.table(spark, sf, "lineitem").select(base_name(F.regexp_extract("_metadata.file_path", r"^.*/lineitem[^/]*", 0), ".parquet").alias("base"))
+    return rows.groupBy("base").agg(F.count("*").alias("n"))
+
+
+# cut sets -----------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {D.CUTS_SQL} SELECT line_no, array_to_string(edges, ',') AS edges FROM cuts")
+def cut_canonical(spark, sf):
+    return D.cuts_orders(spark, sf).select("line_no", text("edges"))
+
+
+@query(f"WITH {D.CUTS_SQL} SELECT DISTINCT array_to_string(edges, ',') AS edges, CAST(len(edges) AS BIGINT) AS size FROM cuts")
+def cut_uniq(spark, sf):
+    return C.cut_uniq(D.cuts_orders(spark, sf)).select(text("edges"), F.col("size").cast("long").alias("size"))
+
+
+@query(f"WITH {D.CUTS_SQL} SELECT array_to_string(edges, ',') AS edges, row_number() OVER (ORDER BY len(edges), edges) AS place FROM (SELECT DISTINCT edges FROM cuts)")
+def cut_order_size_lex(spark, sf):
+    return C.cut_uniq(D.cuts_orders(spark, sf)).select(text("edges"), F.row_number().over(Window.orderBy("size", "edges")).cast("long").alias("place"))
+
+
+_TWO = f"{D.CUTS_SQL}, a AS (SELECT DISTINCT edges FROM cuts), b AS (SELECT DISTINCT list_sort(list(DISTINCT CAST(l_partkey % 10 AS INTEGER))) AS edges FROM lineitem GROUP BY l_orderkey)"
+
+
+def _two_sets(spark, sf):
+    """Last digits of the suppliers, and of the parts, of every order."""
+    return D.cuts_orders(spark, sf), D.cuts_orders(spark, sf, "l_partkey")
+
+
+@query(f"WITH {_TWO} SELECT array_to_string(edges, ',') AS edges FROM (SELECT * FROM a EXCEPT SELECT * FROM b)")
+def cut_diff(spark, sf):
+    return C.cut_diff(*_two_sets(spark, sf)).select(text("edges"))
+
+
+@query(f"WITH {_TWO} SELECT 'A' AS side, array_to_string(edges, ',') AS edges FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'B', array_to_string(edges, ',') FROM (SELECT * FROM b EXCEPT SELECT * FROM a)")
+def cut_symdiff(spark, sf):
+    return C.cut_symdiff(*_two_sets(spark, sf)).select("side", text("edges"))
+
+
+@query(f"WITH {D.CUTS_SQL} SELECT CAST(len(edges) AS BIGINT) AS size, count(*) AS n FROM cuts GROUP BY 1")
+def cut_size_split_counts(spark, sf):
+    written = writers.cut_text(D.cuts_orders(spark, sf))
+    return C.size_counts(written, line_size(F.col("value"))).select(F.col("size").cast("long").alias("size"), "n")
+
+
+@query(f"WITH {D.CUTS_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY line_no) - 1 AS nth, count(*) OVER () AS n FROM cuts) SELECT line_no, array_to_string(edges, ',') AS edges FROM r WHERE nth % greatest(1, n // 500) = 0")
+def stride_sample(spark, sf):
+    return C.stride_sample(D.cuts_orders(spark, sf), 500).select("line_no", text("edges"))
+
+
+@query(f"WITH {D.CUTS_SQL}, u AS (SELECT line_no, edges, unnest(edges) AS restored FROM cuts) SELECT line_no, restored, array_to_string(list_filter(edges, lambda x: x <> restored), ',') AS edges FROM u")
+def leave_one_out(spark, sf):
+    return C.leave_one_out(D.cuts_orders(spark, sf)).select("line_no", "restored", text("edges"))
+
+
+@query(f"WITH {D.CUTS_SQL} SELECT DISTINCT array_to_string(edges, ',') AS cut FROM cuts")
+def stream_distinct_batch(spark, sf):
+    return distinct_cuts(writers.cut_text(D.cuts_orders(spark, sf)))
+
+
+# graphs -------------------------------------------------------------------------------------------------------------------
+
+_REACH = """nodes AS (SELECT src AS n FROM g UNION SELECT dst FROM g), st AS (SELECT src AS a, dst AS b FROM g UNION ALL SELECT dst, src FROM g),
+re AS (SELECT n AS a, n AS b FROM nodes UNION SELECT re.a, st.b FROM re JOIN st ON st.a = re.b)"""
+
+
+@query(f"WITH RECURSIVE {D.GEO_SQL.replace('FROM region)', 'FROM region WHERE r_regionkey <> 2 AND r_regionkey <> 4)')}, {_REACH} SELECT a AS node, CAST(min(b) AS BIGINT) AS component FROM re GROUP BY a")
+def components(spark, sf):
+    return G.components(D.g_geo(spark, sf).where("id NOT IN (27, 29)"))
+
+
+@query(f"WITH {D.TRADE_SQL} SELECT * FROM g")
+def trade_graph(spark, sf):
+    return D.g_trade(spark, sf)
+
+
+@query(f"WITH {D.REGION_SQL} SELECT * FROM g")
+def region_graph(spark, sf):
+    return D.g_region(spark, sf)
+
+
+@query(f"WITH {D.REGION_SQL} SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a.id < b.id")
+def combos_2(spark, sf):
+    return C.combinations(D.g_region(spark, sf), 2).select(F.get("edges", 0).alias("a"), F.get("edges", 1).alias("b"))
+
+
+@query(f"WITH {D.TRADE_SQL} SELECT a.id || ',' || b.id || ',' || c.id AS edges FROM g a JOIN g b ON a.id < b.id JOIN g c ON b.id < c.id")
+def combos_3(spark, sf):
+    return C.combinations(D.g_trade(spark, sf), 3).select(text("edges"))
+
+
+# an edge is in the minimal forest iff the edges with smaller ids do not connect its ends
+_FOREST_SQL = """low AS (SELECT e.id, e.src, e.dst, o.src AS a, o.dst AS b FROM g e JOIN g o ON o.id < e.id),
+ste AS (SELECT id, a, b FROM low UNION ALL SELECT id, b, a FROM low),
+rch AS (SELECT id, src AS n FROM g UNION SELECT rch.id, ste.b FROM rch JOIN ste ON ste.id = rch.id AND ste.a = rch.n)
+SELECT id, src, dst FROM g WHERE src <> dst AND NOT EXISTS (SELECT 1 FROM rch WHERE rch.id = g.id AND rch.n = g.dst)"""
+
+
+@query(f"WITH RECURSIVE {D.TRADE_SQL}, {_FOREST_SQL}")
+def spanning_forest(spark, sf):
+    return G.spanning_forest(D.g_trade(spark, sf))
+
+
+@query(f"WITH RECURSIVE {D.TRADE_SQL}, st AS (SELECT src AS a, dst AS b FROM g UNION ALL SELECT dst, src FROM g), w AS (SELECT 0 AS n, 0 AS h UNION SELECT st.b, w.h + 1 FROM w JOIN st ON st.a = w.n WHERE w.h < 30) SELECT CAST(n AS BIGINT) AS node, CAST(min(h) AS BIGINT) AS hops FROM w GROUP BY n")
+def bfs_hops(spark, sf):
+    return G.bfs_hops(D.g_trade(spark, sf), [0])
+
+
+@query(f"WITH RECURSIVE {D.TRADE_SQL}, st AS (SELECT src AS a, dst AS b FROM g WHERE id NOT IN (3, 20) UNION ALL SELECT dst, src FROM g WHERE id NOT IN (3, 20)), w AS (SELECT 0 AS n, 0 AS h UNION SELECT st.b, w.h + 1 FROM w JOIN st ON st.a = w.n WHERE w.h < 30) SELECT CAST(min(h) AS BIGINT) AS hops FROM w WHERE n IN (12, 15)")
+def shortest_path(spark, sf):
+    return G.shortest_path_length(D.g_trade(spark, sf), [0], [12, 15], F.col("id").isin(3, 20))
+
+
+@query(f"WITH RECURSIVE {D.GEO_SQL.replace('FROM region)', 'FROM region WHERE r_regionkey < 2)')}, {_REACH}, c AS (SELECT DISTINCT min(b) OVER (PARTITION BY a) AS c FROM re), o AS (SELECT c, lead(c) OVER (ORDER BY c) AS d, row_number() OVER (ORDER BY c) AS r FROM c) SELECT CAST((SELECT max(id) FROM g) + r AS INTEGER) AS id, CAST(c AS INTEGER) AS src, CAST(d AS INTEGER) AS dst FROM o WHERE d IS NOT NULL")
+def make_connected(spark, sf):
+    return G.make_connected(D.g_geo(spark, sf).where("id < 27"))
+
+
+@query(f"WITH RECURSIVE {D.GEO_SQL}, cand AS (SELECT id AS cid, [id] AS edges FROM g), {D.CHECK_SQL} SELECT edges[1] AS id FROM res WHERE k = 2")
+def bridges(spark, sf):
+    return G.cycle_labels(D.g_geo(spark, sf)).where("label = 0").select("id")
+
+
+@query(f"WITH {D.TRADE_SQL} SELECT o.line_no, CAST(o.pos - 1 AS INTEGER) AS pos, o.id, g.src, g.dst FROM (SELECT line_no, unnest(edges) AS id, generate_subscripts(edges, 1) AS pos FROM (SELECT 1 AS line_no, [3, 30, 99] AS edges UNION ALL SELECT 2, [7])) o LEFT JOIN g ON g.id = o.id")
+def ids_to_edges(spark, sf):
+    return C.ids_to_edges(D.g_trade(spark, sf), readers.cut_lines(spark.createDataFrame([(1, "3,30,99"), (2, "7")], "line_no int, value string")).withColumn("line_no", F.col("line_no").cast("int")))
+
+
+@query(f"WITH {D.GRAPH5_SQL} SELECT 0 AS nth, 'graph two_squares {{' AS value UNION ALL SELECT id + 1, chr(9) || src || ' -- ' || dst || ' [label = \"' || id || '\"];' FROM g UNION ALL SELECT 11, '}}'".replace("{{", "{").replace("}}", "}"))
+def dot_lines(spark, sf):
+    rows = writers.dot_text(D.graph5(spark), "two_squares")
+    return rows.select((F.row_number().over(Window.orderBy("line")) - 1).alias("nth"), "value")
+
+
+@query()
+def random_graph(spark, sf):
+    return generators.random_graph(spark, 30, 40, 60, seed=3)
+
+
+@query("SELECT n, CAST(c AS BIGINT) AS graphs FROM (VALUES (2, 1), (3, 4), (4, 38), (5, 728)) t(n, c)")
+def connected_graph_counts(spark, sf):
+    counts = [generators.all_connected_graphs(spark, n).select(F.lit(n).alias("n"), F.col("graph_id")).distinct().groupBy("n").agg(F.count("*").alias("graphs")) for n in (2, 3, 4, 5)]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.union(c)
+    return out
+
+
+# checks and bonds ---------------------------------------------------------------------------------------------------------
+
+CHECKS = ["0,1", "0", "0,1,2", "0,1,3", "8,9,0", "5", "4,5,6,7", "0,1,2,3,4,5,6,7,8,9", "3,3,1"]
+_CAND5 = f"{D.GRAPH5_SQL}, {values_sql('l', CHECKS)}, cand AS (SELECT line_no AS cid, list_distinct(list_transform(string_split(value, ','), lambda x: CAST(x AS INTEGER))) AS edges FROM l), {D.CHECK_SQL}"
+_STATUS = "CASE WHEN k = 1 THEN 'false_not_cut' WHEN separates THEN 'true' ELSE 'false_not_minimal' END"
+
+
+def _checked(spark) -> DataFrame:
+    return C.check_cuts(D.graph5(spark), readers.cut_lines(lines(spark, CHECKS)))
+
+
+@query(f"WITH RECURSIVE {_CAND5} SELECT cid AS line_no, k AS n_components, {_STATUS} AS status FROM res")
+def is_min_cut_status(spark, sf):
+    return _checked(spark).select("line_no", "n_components", "status")
+
+
+@query(f"WITH RECURSIVE {_CAND5} SELECT cid AS line_no, k AS n_components FROM res")
+def components_after_cut(spark, sf):
+    return C.components_after(D.graph5(spark), readers.cut_lines(lines(spark, CHECKS))).select("line_no", "n_components")
+
+
+@query(f"WITH RECURSIVE {_CAND5} SELECT cid AS line_no, k > 1 AS is_cut FROM res")
+def is_cut(spark, sf):
+    return _checked(spark).select("line_no", (F.col("n_components") > 1).alias("is_cut"))
+
+
+@query(f"WITH RECURSIVE {_CAND5} SELECT cid AS line_no, {_STATUS} AS status FROM res WHERE {_STATUS} <> 'true' ORDER BY cid LIMIT 1")
+def first_failure(spark, sf):
+    return C.first_failure(_checked(spark)).select("line_no", "status")
+
+
+@query(f"WITH RECURSIVE {_CAND5} SELECT count(*) FILTER (WHERE {_STATUS} <> 'true') AS fails, count(*) AS total FROM res")
+def fail_summary(spark, sf):
+    return C.fail_summary(_checked(spark))
+
+
+def _bonds_sql(graph: str, m: int, low: int, high: int) -> str:
+    return f"WITH RECURSIVE {graph}, {D.subsets_sql(m)}, {D.CHECK_SQL} SELECT k, array_to_string(edges, ',') AS edges FROM res WHERE separates AND k BETWEEN {low} AND {high}"
+
+
+def _bonds(edges: DataFrame, m: int, k: str, method: str = "algebra", exact: bool = False) -> DataFrame:
+    return B.bonds(edges, m, k, method, exact).select("k", text("edges"))
+
+
+@query(_bonds_sql(D.REGION_SQL, 6, 2, 2))
+def two_bonds_region(spark, sf):
+    return _bonds(D.g_region(spark, sf), 6, "2")
+
+
+@query(_bonds_sql(D.TRADE_SQL, 3, 2, 2))
+def two_bonds_trade_m3(spark, sf):
+    return _bonds(D.g_trade(spark, sf), 3, "2")
+
+
+@query(_bonds_sql(D.TRADE_SQL, 3, 2, 3))
+def k_range_bonds(spark, sf):
+    return _bonds(D.g_trade(spark, sf), 3, "2-3")
+
+
+@query(_bonds_sql(D.REGION_SQL, 7, 3, 3))
+def three_bonds_region(spark, sf):
+    return _bonds(D.g_region(spark, sf), 7, "3")
+
+
+@query(_bonds_sql(D.GEO_SQL, 2, 2, 3))
+def bonds_geo_m2(spark, sf):
+    return _bonds(D.g_geo(spark, sf), 2, "2-3")
+
+
+@query(_bonds_sql(D.GRAPH5_SQL, 3, 2, 3))
+def brute_bonds_graph5(spark, sf):
+    return _bonds(D.graph5(spark), 3, "2-3", "brute")
+
+
+@query(_bonds_sql(D.GRAPH5_SQL, 4, 2, 4))
+def algebra_bonds_graph5(spark, sf):
+    return _bonds(D.graph5(spark), 4, "2-4", exact=True)
+
+
+@query("SELECT 0 AS differences, 38 AS graphs")
+def method_diff(spark, sf):
+    graphs = generators.all_connected_graphs(spark, 4)
+    diff = B.differential(graphs, 4, "2-4").agg(F.count("*").cast("int").alias("differences"))
+    return diff.crossJoin(graphs.agg(F.count_distinct("graph_id").cast("int").alias("graphs")))
+
+
+_KM = f"WITH RECURSIVE {D.GRAPH5_SQL}, {D.subsets_sql(4)}, {D.CHECK_SQL}, cell AS (SELECT k.k, m.m FROM range(2, 5) k(k), range(1, 5) m(m) WHERE m.m >= k.k - 1)"
+
+
+@query(f"{_KM} SELECT CAST(cell.k AS INTEGER) AS k, CAST(cell.m AS INTEGER) AS m, count(r.k) AS bonds FROM cell LEFT JOIN res r ON r.separates AND r.k = cell.k AND len(r.edges) <= cell.m GROUP BY 1, 2")
+def km_grid_counts(spark, sf):
+    return R.km_counts(D.graph5(spark), 4, (2, 4))
+
+
+@query(f"{_KM} SELECT CAST(k.k AS INTEGER) AS k, CAST(m.m AS INTEGER) AS m, count(r.k) AS can FROM range(3, 5) k(k) JOIN range(3, 5) m(m) ON m.m >= k.k LEFT JOIN res r ON r.separates AND r.k = k.k AND len(r.edges) <= m.m GROUP BY 1, 2")
+def noncanonicity_cells(spark, sf):
+    return R.derivations(D.graph5(spark), 4, (3, 4)).select("k", "m", "can")
+
+
+# reports ------------------------------------------------------------------------------------------------------------------
+
+GRID_LINES = ["# k m noncan can", "3 3 150 120", "", "3 4 77 70", "4 4 9 9"]
+
+
+@query("SELECT k, m, p AS percent FROM (VALUES (3, 3, 25.0::DOUBLE), (3, 4, 10.0::DOUBLE), (4, 4, 0.0::DOUBLE)) t(k, m, p)")
+def noncanonicity_pct(spark, sf):
+    return R.noncanonicity_percent(readers.noncanonicity_table(lines(spark, GRID_LINES)))
+
+
+@query(f"WITH {D.LOG_SQL} SELECT CAST(stage AS BIGINT) AS stage, CAST(bonds AS BIGINT) AS level, avg(CASE WHEN ms <> 0 THEN ms END) AS avg_len FROM log GROUP BY 1, 2")
+def path_length_avg(spark, sf):
+    rows = D.log_events(spark, sf).select(F.col("stage").cast("long").alias("stage"), F.col("bonds").alias("level"), F.col("ms").alias("len"))
+    return R.path_length_profile(rows)
+
+
+@query(f"""WITH {D.LOG_SQL}, k AS (SELECT * FROM log WHERE ms <> 0 OR bonds <> 0), b AS (SELECT quantile_cont(CAST(ms AS DOUBLE), [0.0, 0.25, 0.5, 0.75, 1.0]) AS b FROM k),
+q AS (SELECT CASE WHEN ms <= b[2] THEN 0 WHEN ms <= b[3] THEN 1 WHEN ms <= b[4] THEN 2 ELSE 3 END AS quartile, bonds FROM k, b)
+SELECT CAST(i AS INTEGER) AS quartile, b[i + 1] AS low, b[i + 2] AS high, count(q.quartile) AS records, CAST(coalesce(sum(q.bonds), 0) AS BIGINT) AS bonds FROM b CROSS JOIN range(0, 4) t(i) LEFT JOIN q ON q.quartile = i GROUP BY i, b""")
+def rtm_quartiles(spark, sf):
+    return R.quartile_report(D.log_events(spark, sf))
+
+
+@query(f"WITH {D.LOG_SQL} SELECT CAST(stage AS INTEGER) AS k, " + ", ".join(f"sum(CASE WHEN bonds = {i} THEN 1 END)::BIGINT AS \"{i}\"" for i in (1, 2, 3)) + " FROM log GROUP BY stage")
+def table_pivot(spark, sf):
+    rows = D.log_events(spark, sf).groupBy(F.col("stage").alias("k"), F.col("bonds").cast("int").alias("m")).agg(F.count("*").alias("n"))
+    return R.pivot_table(rows, "n", 3)
+
+
+@query("SELECT k, m, k || ' & ' || m || ' \\\\' AS value FROM (VALUES (3, 3), (3, 4), (4, 4)) t(k, m)")
+def tex_lines(spark, sf):
+    return writers.tex_rows(readers.noncanonicity_table(lines(spark, GRID_LINES)).select("k", "m"), ["k", "m"])
+
+
+SIZE_LINES = ["1,2", "(a,b),3", "7", "(x,y,z)"]
+
+
+@query("SELECT v AS value, n AS size FROM (VALUES ('1,2', 2), ('(a,b),3', 2), ('7', 1), ('(x,y,z)', 1)) t(v, n)")
+def parenthesis_sizes(spark, sf):
+    return lines(spark, SIZE_LINES).select("value", line_size(F.col("value")).alias("size"))
+
+
+@query(f"WITH {values_sql('l', CUT_LINES)}, p AS (SELECT DISTINCT list_sort(list_distinct(list_transform(string_split(value, ','), lambda x: CAST(trim(x) AS INTEGER)))) AS e FROM l WHERE value <> '') SELECT array_to_string(e, ',') AS edges FROM p UNION ALL SELECT ''")
+def cut_sets_from_lines(spark, sf):
+    return lines(spark, CUT_LINES).select(as_set(parse_ids(F.col("value"))).alias("edges")).distinct().select(text("edges"))
