@@ -1,9 +1,7 @@
-"""What the operators share: table access, shared scratch tables, byte-level views of Arrow text columns."""
+"""What the operators share: table access, ids, byte-level views of Arrow text columns."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import Scratch
+
 #: Words, here and in every contract of this subpackage: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -30,41 +30,6 @@ def id_bucket(col: Column, mod: int = 5) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % mod
 
 
-class Scratch:
-    """Tables in the cluster's shared folder that cut the lineage of iterative jobs.
-
-    The folder is that of spark.checkpoint.dir; only a session without one (tests) gets a temporary folder.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="scratch-")
-            spark.conf.set("spark.checkpoint.dir", base)
-        self.base = f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def path(self) -> str:
-        self.n += 1
-        return f"{self.base}/{self.n}"
-
-    def write(self, df: DataFrame) -> DataFrame:
-        path = self.path()
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out.scratch_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a table that write() made and that no lazy result reads any more."""
-        path = getattr(df, "scratch_path", None)
-        if path:
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
     """Bounds the rows of the session's Arrow batches (Spark's default of 10,000 rows of long texts would not fit)."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:

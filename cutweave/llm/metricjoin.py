@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from .common import Scratch
-from .components import connected_components
 
 CELL, BLOCK, MAX_PIVOTS = 2048, 2048, 4096
 _SLACK = 1e-9

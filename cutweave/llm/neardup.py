@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from .common import LOWER, Scratch, chunks, mix64, small_batches, splitmix, text_bytes, word_hashes, word_spans
-from .components import connected_components
 from .vocab import ragged
 
 SHINGLE, BANDS, ROWS, BITS = 5, 32, 6, 512

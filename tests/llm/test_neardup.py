@@ -5,9 +5,9 @@ import numpy as np
 import pytest
 
 from cutweave.llm import neardup
-from cutweave.llm.components import connected_components
 from cutweave.llm.common import Scratch
 from cutweave.llm.neardup import near_duplicates, sketch_limit
+from cutweave.operators.components import connected_components
 
 SCHEMA = "doc_id long, text string, kept string, n int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
