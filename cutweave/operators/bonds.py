@@ -155,3 +155,13 @@ def differential(graphs: DataFrame, m: int, k: str | int) -> DataFrame:
         return pd.DataFrame(odd, columns=["graph_id", "method", "k", "edges"])
 
     return graphs.select("graph_id", "id", "src", "dst").groupBy("graph_id").applyInPandas(both, "graph_id long, method string, k int, edges array<int>")
+
+
+def failing_graphs(graphs: DataFrame, differences: DataFrame) -> DataFrame:
+    """The graphs that differential() found differences on, to be kept as test cases."""
+    return graphs.join(differences.select("graph_id").distinct(), "graph_id", "left_semi")
+
+
+def bonds_per_seed(found: DataFrame) -> DataFrame:
+    """(k, seed, bonds): how many bonds have each smallest edge."""
+    return found.groupBy("k", F.array_min("edges").alias("seed")).agg(F.count("*").alias("bonds"))

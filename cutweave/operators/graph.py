@@ -82,6 +82,29 @@ def shortest_path_length(edges: DataFrame, sources: list[int], targets: list[int
     return bfs_hops(edges, sources, excluded).where(F.col("node").isin(targets)).agg(F.min("hops").alias("hops"))
 
 
+def canonical_path(edges: DataFrame, sources: list[int], targets: list[int], excluded: Column | None = None) -> DataFrame:
+    """(pos, id): of the paths with fewest edges from a source to a target, that with the smallest sequence of edge ids; empty if there is none.
+
+    In a large graph the path is walked by one small join per edge, along falling distances to the targets.
+    """
+    live = edges if excluded is None else edges.where(~excluded)
+    if is_small(live):
+        return _local(live, lambda pdf, a=frozenset(sources), b=frozenset(targets): small.canonical_path(pdf, set(a), set(b)), "pos long, id long")
+    spark = edges.sparkSession
+    far = Scratch(spark).write(bfs_hops(live, targets))
+    left = far.where(F.col("node").isin(sources)).agg(F.min("hops")).first()[0] or 0
+    at, path = [r.node for r in far.where(F.col("node").isin(sources) & (F.col("hops") == left)).collect()], []
+    both = live.select("id", F.col("src").cast("long").alias("u"), F.col("dst").cast("long").alias("v"))
+    both = both.union(both.select("id", "v", "u"))
+    while left:
+        left -= 1
+        onward = both.where(F.col("u").isin(at)).join(far.where(F.col("hops") == left), F.col("v") == F.col("node"))
+        best = onward.agg(F.min_by(F.struct("id", "v"), F.struct("id", "v")).alias("b")).first().b
+        path.append((len(path), int(best.id)))
+        at = [r.v for r in onward.where(F.col("id") == best.id).select("v").distinct().collect()]
+    return spark.createDataFrame(path, "pos long, id long")
+
+
 def make_connected(edges: DataFrame, all_nodes: DataFrame | None = None) -> DataFrame:
     """Edges that chain the components by their smallest nodes: (id, src, dst), ids after the largest one."""
     reps = components(edges, all_nodes).select("component").distinct()
@@ -91,6 +114,11 @@ def make_connected(edges: DataFrame, all_nodes: DataFrame | None = None) -> Data
     return chain.join(F.broadcast(top)).select((F.col("top") + number).cast("int").alias("id"), F.col("component").cast("int").alias("src"), F.col("next").cast("int").alias("dst"))
 
 
+def by_colour(rows: DataFrame, colour: str = "colour", item: str = "id") -> DataFrame:
+    """(colour, items): the items of each colour in order, joined by ', '; a debugging aid for small graphs."""
+    return rows.groupBy(colour).agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x.cast("string")), ", ").alias("items"))
+
+
 def without(edges: DataFrame, removed: DataFrame) -> DataFrame:
     """Edges whose id is not in `removed` (id)."""
     return edges.join(removed.select("id"), "id", "left_anti")

@@ -101,3 +101,20 @@ def hops(graph: pd.DataFrame, sources: set[int]) -> pd.DataFrame:
                 far[v] = far[u] + 1
                 todo.append(v)
     return pd.DataFrame({"node": list(far), "hops": list(far.values())}, dtype="int64")
+
+
+def canonical_path(graph: pd.DataFrame, sources: set[int], targets: set[int]) -> pd.DataFrame:
+    """Of the paths with fewest edges from a source to a target, that with the smallest sequence of edge ids."""
+    far = dict(hops(graph, targets).itertuples(index=False))
+    near: dict[int, list[tuple[int, int]]] = {}
+    for i, u, v in zip(graph["id"].tolist(), graph["src"].tolist(), graph["dst"].tolist(), strict=True):
+        near.setdefault(u, []).append((i, v))
+        near.setdefault(v, []).append((i, u))
+    left = min((far[s] for s in sources if s in far), default=0)
+    at, path = {s for s in sources if far.get(s) == left}, []
+    while left:
+        left -= 1
+        edge = min(i for u in at for i, v in near[u] if far.get(v) == left)
+        at = {v for u in at for i, v in near[u] if i == edge and far.get(v) == left}
+        path.append(edge)
+    return pd.DataFrame({"pos": range(len(path)), "id": path}, dtype="int64")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_line, as_set, base_name, line_size, parse_ids
+from ..functions.columns import as_line, as_set, base_name, colour_name, line_size, parse_ids
 from ..operators import bonds as B
 from ..operators import cuts as C
 from ..operators import graph as G
@@ -218,6 +218,21 @@ def shortest_path(spark, sf):
     return G.shortest_path_length(D.g_trade(spark, sf), [0], [12, 15], F.col("id").isin(3, 20))
 
 
+@query(f"""WITH RECURSIVE {D.TRADE_SQL}, st AS (SELECT id, src AS a, dst AS b FROM g WHERE id NOT IN (3, 20) UNION ALL SELECT id, dst, src FROM g WHERE id NOT IN (3, 20)),
+w AS (SELECT s AS n, CAST([] AS INTEGER[]) AS p, [s] AS seen FROM (VALUES (0), (8)) t(s) UNION ALL
+      SELECT st.b, list_append(w.p, st.id), list_append(w.seen, st.b) FROM w JOIN st ON st.a = w.n WHERE NOT list_contains(w.seen, st.b) AND len(w.p) < 14),
+h AS (SELECT p FROM w WHERE n IN (12, 15) ORDER BY len(p), p LIMIT 1)
+SELECT generate_subscripts(p, 1) - 1 AS pos, CAST(unnest(p) AS BIGINT) AS id FROM h""")
+def canonical_path(spark, sf):
+    return G.canonical_path(D.g_trade(spark, sf), [0, 8], [12, 15], F.col("id").isin(3, 20))
+
+
+@query("SELECT CASE n_regionkey % 3 WHEN 0 THEN 'black' WHEN 1 THEN 'red' ELSE 'blue' END AS colour, string_agg(CAST(n_nationkey AS VARCHAR), ', ' ORDER BY n_nationkey) AS items FROM nation GROUP BY 1")
+def colour_lists(spark, sf):
+    rows = D.table(spark, sf, "nation").select(colour_name(F.col("n_regionkey") % 3).alias("colour"), F.col("n_nationkey").alias("id"))
+    return G.by_colour(rows)
+
+
 @query(f"WITH RECURSIVE {D.GEO_SQL.replace('FROM region)', 'FROM region WHERE r_regionkey < 2)')}, {_REACH}, c AS (SELECT DISTINCT min(b) OVER (PARTITION BY a) AS c FROM re), o AS (SELECT c, lead(c) OVER (ORDER BY c) AS d, row_number() OVER (ORDER BY c) AS r FROM c) SELECT CAST((SELECT max(id) FROM g) + r AS INTEGER) AS id, CAST(c AS INTEGER) AS src, CAST(d AS INTEGER) AS dst FROM o WHERE d IS NOT NULL")
 def make_connected(spark, sf):
     return G.make_connected(D.g_geo(spark, sf).where("id < 27"))
@@ -332,6 +347,11 @@ def algebra_bonds_graph5(spark, sf):
     return _bonds(D.graph5(spark), 4, "2-4", exact=True)
 
 
+@query(_bonds_sql(D.TRADE_SQL, 3, 2, 3).replace("SELECT k, array_to_string(edges, ',') AS edges FROM res", "SELECT k, list_min(edges) AS seed, count(*) AS bonds FROM res") + " GROUP BY 1, 2")
+def bonds_per_seed(spark, sf):
+    return B.bonds_per_seed(B.bonds(D.g_trade(spark, sf), 3, "2-3"))
+
+
 @query("SELECT 0 AS differences, 38 AS graphs")
 def method_diff(spark, sf):
     graphs = generators.all_connected_graphs(spark, 4)

@@ -73,6 +73,12 @@ def test_all_connected_graphs_on_four_nodes(spark):
     assert B.differential(graphs, 6, "2-4").count() == 0
 
 
+def test_failing_graphs_are_kept(spark):
+    graphs = all_connected_graphs(spark, 3)
+    odd = spark.createDataFrame([(7, "labels", 2, [0, 1])], "graph_id long, method string, k int, edges array<int>")
+    assert {r.graph_id for r in B.failing_graphs(graphs, odd).collect()} == {7}
+
+
 def test_accidents_are_caught(spark, monkeypatch):
     """With labels that collide, the exact check removes what the definition does not accept."""
     label = lambda e, seed=0: e.select("id", "src", "dst", F.lit(5).cast("long").alias("label"))

@@ -65,6 +65,12 @@ def test_hops_and_paths(spark, either_path):
     assert G.shortest_path_length(graph5(spark), [0], [99]).first()[0] is None
 
 
+def test_canonical_path(spark, either_path):
+    path = lambda *a: [r.id for r in G.canonical_path(graph5(spark), *a).orderBy("pos").collect()]
+    assert path([0], [4]) == [3, 9] and path([0, 1], [5]) == [1, 8] and path([0], [0]) == [] and path([0], [99]) == []
+    assert path([0], [6]) == [0, 1, 8, 5] and path([0], [6], F.col("id") == 8) == [3, 9, 4, 5]
+
+
 def test_make_connected(spark):
     edges = [(1, 0, 1), (2, 4, 5), (3, 8, 9)]
     links = G.make_connected(frame(spark, edges), spark.createDataFrame([(20,)], "node int"))
