@@ -15,7 +15,8 @@ or an entry further up plus sums stored with two contexts of the chain; or the u
 up once.
 
 Baseline. Words need counts over the corpus, whose vocabulary has no bound and is never broadcast: each input split reports its distinct
-words, a window adds them up by word, and the counts come back to their split, where documents and words meet.
+words, a window adds them up by word, and the counts come back to their split, where documents and words meet. Frames that are not a
+plain scan of files, whose splits would differ from run to run, are written to the shared folder first.
 
 Training uses rows whose crc32(id as text) mod 5 is not `held_out`; rows with a null id are scored, not learned from, and not held
 out. A null text is empty: one end token. Repeated rows count each. Without training rows the base score is 0 per token and the model
@@ -45,21 +46,19 @@ _LOG = np.log10
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A number for each position of texts and their ends: ORDER bytes before and the symbol; and n + 1 offsets into them."""
-    n = len(offsets) - 1
-    extra = ORDER + 1
-    shifted = offsets + np.arange(n + 1) * extra
-    full = np.empty(int(shifted[-1]), np.int64)
-    where = np.arange(len(data)) + np.repeat(np.arange(n) * extra + ORDER, np.diff(offsets))
-    full[where] = LOWER[data]
-    full[shifted[1:] - 1] = END
-    is_pad = np.zeros(len(full), bool)
-    for i in range(ORDER):
-        is_pad[shifted[:-1] + i] = True
-    full[is_pad] = PAD
-    out = full.copy()
-    for i in range(1, ORDER + 1):
-        out[i:] += full[:-i] << (8 * i)
-    return out[~is_pad], offsets + np.arange(n + 1)
+    n, lead = len(offsets) - 1, 8 - 1  # every number is read as the eight bytes that end at its symbol
+    shifted = offsets + np.arange(n + 1) * (lead + 1)
+    full = np.full(int(shifted[-1]), PAD, np.uint8)
+    text = np.ones(len(full), bool)
+    edges = (shifted[:-1, None] + np.arange(lead)).ravel()
+    text[edges] = False
+    ends = shifted[1:] - 1
+    text[ends] = False
+    full[text] = LOWER[data]
+    full[ends] = END
+    text[ends] = True
+    windows = np.ndarray((max(0, len(full) - lead),), ">u8", full.tobytes(), strides=(1,))
+    return windows[text[lead:]].astype(np.int64) & ((1 << (8 * (ORDER + 1))) - 1), offsets + np.arange(n + 1)
 
 
 def gram_counts(train: DataFrame) -> DataFrame:
@@ -131,40 +130,42 @@ class Model:
 
     def log10(self, gram: np.ndarray) -> np.ndarray:
         """log10 probability of each distinct gram's symbol after its context."""
-        n = len(gram)
-        out = np.full(n, self.rest)
-        deepest, place = np.full(n, -1), np.zeros(n, np.int64)
-        chain: list[np.ndarray] = []
-        for k in range(ORDER + 1):  # contexts are closed under suffixes: stop at the first that is missing
-            if not len(self.contexts[k]):
-                break
-            context = (gram >> 8) & ((1 << (8 * k)) - 1)
-            at = np.minimum(np.searchsorted(self.contexts[k], context), len(self.contexts[k]) - 1)
-            known = (self.contexts[k][at] == context) & (deepest == k - 1)
-            deepest[known], place[known] = k, at[known]
-            chain.append(at)
-        open_ = deepest >= 0
-        for k in range(ORDER, -1, -1):
-            if not len(self.contexts[k]):
-                continue
-            who = np.flatnonzero(open_ & (deepest >= k))
-            if not len(who):
-                continue
-            key = gram[who] & ((1 << (8 * (k + 1))) - 1)
-            at = np.minimum(np.searchsorted(self.keys[k], key), len(self.keys[k]) - 1)
-            hit = self.keys[k][at] == key
-            who, at = who[hit], at[hit]
-            open_[who] = False
+        out = np.full(len(gram), self.rest)
+        deepest, place = np.full(len(gram), -1), np.zeros(len(gram), np.int64)
+        todo = np.arange(len(gram))
+        for k in range(ORDER, -1, -1):  # the longest context that is known
+            at, known = self._find(self.contexts[k], self._context(gram[todo], k))
+            deepest[todo[known]], place[todo[known]] = k, at[known]
+            todo = todo[~known]
+        todo = np.flatnonzero(deepest >= 0)
+        for k in range(ORDER, -1, -1):  # the longest context that has shown the symbol
+            who = todo[deepest[todo] >= k]
+            at, shown = self._find(self.keys[k], gram[who] & ((1 << (8 * (k + 1))) - 1))
+            who, at = who[shown], at[shown]
             here = deepest[who] == k
             out[who[here]] = self.log_count[k][at[here]] - self.first[k][place[who[here]]]
-            who, at = who[~here], at[~here]
-            if len(who):
-                out[who] = self._leave(deepest[who], place[who]) + self.stop[k + 1][chain[k + 1][who]] + self.log_count[k][at]
-        who = np.flatnonzero(open_)
-        if len(who):
-            out[who] = self._leave(deepest[who], place[who]) + self.uniform[0]
+            up, at = who[~here], at[~here]
+            if len(up):
+                below = np.searchsorted(self.contexts[k + 1], self._context(gram[up], k + 1))
+                out[up] = self._leave(deepest[up], place[up]) + self.stop[k + 1][below] + self.log_count[k][at]
+            done = np.zeros(len(gram), bool)
+            done[who] = True
+            todo = todo[~done[todo]]
+        if len(todo):
+            out[todo] = self._leave(deepest[todo], place[todo]) + self.uniform[0]
         return out
 
+    @staticmethod
+    def _context(gram: np.ndarray, k: int) -> np.ndarray:
+        return (gram >> 8) & ((1 << (8 * k)) - 1)
+
+    @staticmethod
+    def _find(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(table):
+            return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+        at = np.minimum(np.searchsorted(table, key), len(table) - 1)
+        return at, table[at] == key
+
     def _leave(self, order: np.ndarray, place: np.ndarray) -> np.ndarray:
         out = np.empty(len(order))
         for k in np.unique(order).tolist():
@@ -173,6 +174,32 @@ class Model:
         return out
 
 
+class Memo:
+    """A model's answers that a task has had already; at most `most` of them."""
+
+    def __init__(self, model: Model, most: int = 3_000_000):
+        self.model, self.most = model, most
+        self.gram, self.answer = np.zeros(0, np.int64), np.zeros(0)
+
+    def log10(self, gram: np.ndarray) -> np.ndarray:
+        order = np.argsort(gram)
+        key = gram[order]
+        at, known = Model._find(self.gram, key)
+        found = np.empty(len(key))
+        found[known] = self.answer[at[known]]
+        new = key[~known]
+        if len(new):
+            found[~known] = self.model.log10(new)
+            if len(self.gram) + len(new) > self.most:
+                self.gram, self.answer = new, found[~known]
+            else:
+                where = np.searchsorted(self.gram, new)
+                self.gram, self.answer = np.insert(self.gram, where, new), np.insert(self.answer, where, found[~known])
+        out = np.empty(len(key))
+        out[order] = found
+        return out
+
+
 def _train(train: DataFrame, scratch: Scratch, max_entries: int) -> Model:
     counts = scratch.write(gram_counts(train))
     symbols = counts.agg(F.sum("n")).first()[0] or 0
@@ -190,6 +217,12 @@ def _train(train: DataFrame, scratch: Scratch, max_entries: int) -> Model:
     return Model(entries, totals)
 
 
+def _comes_out_the_same(docs: DataFrame) -> bool:
+    """Whether every run gives the same rows in the same partitions: a scan of files with nothing but projections and filters."""
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    return "FileScan" in plan and not re.search("Exchange|Join|Aggregate|Limit|Sample|InMemory|Window|Union|Coalesce", plan)
+
+
 def _words(rows: DataFrame) -> DataFrame:
     """(block, word, n): the distinct words of each input split, n as often as training texts have them; the empty word is the end."""
 
@@ -224,6 +257,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(spark, 1000)
     scratch = Scratch(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if not _comes_out_the_same(rows):
+        rows = scratch.write(rows)
     rows = rows.withColumn("rest", id_bucket(F.col("doc_id"))).withColumn("train", F.coalesce(F.col("rest") != held_out, F.lit(False)))
     rows = rows.withColumn("held_out", F.coalesce(F.col("rest") == held_out, F.lit(False))).drop("rest").withColumn("block", F.spark_partition_id())
     model = spark.sparkContext.broadcast(_train(rows.where("train").select("text"), scratch, max_entries))  # bounded by max_entries per order
@@ -234,7 +269,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tokens, scale = int(known.n), known.n + 0.5 * (known.v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, worth = None, {}
+        block, worth, unseen, memo = None, {}, set(), Memo(model.value)
         for batch in batches:
             blocks, is_word = batch["block"].to_numpy(), batch["kind"].to_numpy() == 0
             edges = np.concatenate([[0], np.flatnonzero((np.diff(blocks) != 0) | (np.diff(is_word.astype(int)) != 0)) + 1, [len(batch)]]).tolist()
@@ -242,27 +277,28 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 if a == b:
                     continue
                 if blocks[a] != block:
-                    block, worth = blocks[a], {}
+                    block, worth, unseen = blocks[a], {}, set()
                 part = batch.slice(a, b - a)
-                if is_word[a]:  # the words of a block come before its documents; real part: log10, imaginary part: known
-                    c = part["c"].to_numpy()
-                    worth.update(zip(part["word"].to_pylist(), (_LOG((c + 0.5) / scale) + 1j * (c > 0)).tolist(), strict=True))
+                if is_word[a]:  # the words of a block come before its documents
+                    c, found = part["c"].to_numpy(), part["word"]
+                    worth.update(zip(found.to_pylist(), _LOG((c + 0.5) / scale).tolist(), strict=True))
+                    unseen.update(found.filter(pa.array(c == 0)).to_pylist())
                     continue
-                base, sizes = [], []
+                base, sizes, known_here = [], [], []
                 for text in part["text"].to_pylist():
                     found = _WORD.findall(text.encode().lower())
                     found.append(b"")
                     base.append(sum(map(worth.__getitem__, found)))
                     sizes.append(len(found))
+                    known_here.append(len(found) - sum(map(unseen.__contains__, found)))
                 data, offsets = text_bytes(part["text"])
                 scores = [np.zeros(0)]
-                for lo, hi in chunks(offsets, 8 << 20):
+                for lo, hi in chunks(offsets, 4 << 20):
                     gram, at = grams(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                     code, distinct = pd.factorize(gram)
-                    scores.append(np.add.reduceat(model.value.log10(distinct)[code], at[:-1]))
-                base = np.array(base, complex)
-                columns = [pa.array(sizes, pa.int64()), pa.array(base.imag.round().astype(np.int64)), pa.array([tokens] * len(sizes), pa.int64())]
-                columns += [pa.array(base.real), pa.array(np.concatenate(scores))]
+                    scores.append(np.add.reduceat(memo.log10(distinct)[code], at[:-1]))
+                columns = [pa.array(x, pa.int64()) for x in (sizes, known_here, [tokens] * len(sizes))]
+                columns += [pa.array(base, pa.float64()), pa.array(np.concatenate(scores))]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["held_out"], *columns], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     empty = {"word": "binary", "c": "long", "doc_id": "long", "held_out": "boolean", "text": "string"}
