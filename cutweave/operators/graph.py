@@ -24,7 +24,11 @@ def is_small(edges: DataFrame) -> bool:
 def components(edges: DataFrame, all_nodes: DataFrame | None = None) -> DataFrame:
     """(node, component): the smallest node reached; isolated nodes come from loops or `all_nodes`."""
     known = nodes(edges) if all_nodes is None else nodes(edges).union(all_nodes.select("node")).distinct()
-    found = connected_components(edges.select("src", "dst"), Scratch(edges.sparkSession))
+    numbered = edges if "id" in edges.columns else edges.withColumn("id", F.lit(0))
+    if is_small(edges):
+        found = _local(numbered, small.component_map, "id long, component long")
+    else:
+        found = connected_components(edges.select("src", "dst"), Scratch(edges.sparkSession))
     return known.join(found, F.col("node") == F.col("id"), "left").select("node", F.coalesce("component", F.col("node").cast("long")).alias("component"))
 
 

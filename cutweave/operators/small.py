@@ -87,6 +87,11 @@ def forest_ids(graph: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": [f.ids[i] for i in f.tree]}, dtype="int64")
 
 
+def component_map(graph: pd.DataFrame) -> pd.DataFrame:
+    f = Forest(graph["id"], graph["src"], graph["dst"])
+    return pd.DataFrame({"id": list(f.component), "component": list(f.component.values())}, dtype="int64")
+
+
 def hops(graph: pd.DataFrame, sources: set[int]) -> pd.DataFrame:
     near: dict[int, list[int]] = {}
     for u, v in zip(graph["src"].tolist(), graph["dst"].tolist(), strict=True):

@@ -36,7 +36,7 @@ def edges_of(seed, n=12, m=16):
     return [(i * 3 + 1, rng.randrange(n), rng.randrange(n)) for i in range(m)]
 
 
-def test_components_with_isolated_nodes_and_loops(spark):
+def test_components_with_isolated_nodes_and_loops(spark, either_path):
     edges = edges_of(1) + [(100, 50, 50)]
     extra = spark.createDataFrame([(70,), (0,)], "node int")
     nodes = {n for _, u, v in edges for n in (u, v)} | {70, 0}
