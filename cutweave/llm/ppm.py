@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, Scratch, chunks, id_bucket, small_batches, text_bytes
 
 ORDER = 5
-MAX_ENTRIES = 1 << 20
+MAX_ENTRIES = 1 << 21
 PAD, END = 0xFE, 0xFF  # bytes that UTF-8 never has
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOG = np.log10
@@ -80,10 +80,10 @@ def gram_counts(train: DataFrame) -> DataFrame:
                 code, distinct = pd.factorize(grams(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[0])
                 parts.append((distinct, np.bincount(code, minlength=len(distinct))))
                 held += len(distinct)
-            if held > 6_000_000:
+            if held > 2_000_000:
                 parts = [merged(parts)]
                 held = len(parts[0][0])
-                if held > 3_000_000:
+                if held > 1_000_000:
                     yield batch_of(parts[0])
                     parts, held = [], 0
         if parts:
@@ -177,7 +177,7 @@ class Model:
 class Memo:
     """A model's answers that a task has had already; at most `most` of them."""
 
-    def __init__(self, model: Model, most: int = 3_000_000):
+    def __init__(self, model: Model, most: int = 1_500_000):
         self.model, self.most = model, most
         self.gram, self.answer = np.zeros(0, np.int64), np.zeros(0)
 
@@ -220,7 +220,7 @@ def _train(train: DataFrame, scratch: Scratch, max_entries: int) -> Model:
 def _comes_out_the_same(docs: DataFrame) -> bool:
     """Whether every run gives the same rows in the same partitions: a scan of files with nothing but projections and filters."""
     plan = docs._jdf.queryExecution().executedPlan().toString()
-    return "FileScan" in plan and not re.search("Exchange|Join|Aggregate|Limit|Sample|InMemory|Window|Union|Coalesce", plan)
+    return "FileScan" in plan and not re.search("Exchange|Join|Aggregate|Limit|Sample|InMemoryTable|Window|Union|Coalesce", plan)
 
 
 def _words(rows: DataFrame) -> DataFrame:
@@ -293,7 +293,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     known_here.append(len(found) - sum(map(unseen.__contains__, found)))
                 data, offsets = text_bytes(part["text"])
                 scores = [np.zeros(0)]
-                for lo, hi in chunks(offsets, 4 << 20):
+                for lo, hi in chunks(offsets):
                     gram, at = grams(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                     code, distinct = pd.factorize(gram)
                     scores.append(np.add.reduceat(memo.log10(distinct)[code], at[:-1]))
