@@ -11,7 +11,7 @@
    clusters that this leaves in several parts are then compared block against block.
 5. Components of the confirmed links.
 
-With BANDS x ROWS samples a pair with similarity s shares no band with probability (1 - s^ROWS)^BANDS: 3e-7 at 0.85.
+With BANDS x ROWS samples a pair with similarity s shares no band with probability (1 - s^ROWS)^BANDS: 5e-7 at 0.8, 1e-10 at 0.85.
 
 Words are runs of anything but ASCII white space, A-Z in lower case. A text with one to four words has its whole sequence as the
 only shingle; a text without words (or null) has none and is linked with nothing. Rows with a null id link with nothing and keep a
@@ -32,7 +32,7 @@ from ..operators.components import connected_components
 from .common import LOWER, Scratch, chunks, mix64, small_batches, splitmix, text_bytes, word_hashes, word_spans
 from .vocab import ragged
 
-SHINGLE, BANDS, ROWS, BITS = 5, 32, 6, 512
+SHINGLE, BANDS, ROWS, BITS = 5, 48, 6, 1024
 BLOCK = 1024
 #: Candidates (16 bytes each) that may be broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -177,7 +177,7 @@ def _confirm(rows: DataFrame, percent: int, limit: int) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys, "doc_id").mapInArrow(run, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; linked: 100 * intersection >= percent * union of the shingle sets."""
     spark = docs.sparkSession
     small_batches(spark)

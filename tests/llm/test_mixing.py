@@ -32,7 +32,7 @@ def test_targets_and_taken(spark):
     rng = random.Random(5)
     rows = [(i, " ".join("w" * rng.randint(1, 3) for _ in range(rng.randint(0, 60))), rng.choice(["a", "a", "a", "a", "b", "ä", None])) for i in range(1500)]
     rows += [(2000, " x y", "b"), (2001, None, "b"), (2002, "", None), (None, "one two", "a")]
-    rows += [(3000, "same row", "a")] * 5
+    rows += [(3000, "same row", "a")] * 5 + [(3001, "very long " * 30_000, "long")]
     got = systematic_mix(make(rows, spark)).collect()
     assert len(got) == len(rows)
     sizes, longest = {}, {}

@@ -36,7 +36,7 @@ def components(n, pairs):
     return [find(x) for x in range(n)]
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = [shingles(t) for _, t in rows]
     linked = []
     for i in range(len(rows)):
@@ -44,7 +44,7 @@ def brute(rows):
             if rows[i][0] is None or rows[j][0] is None:
                 continue
             both = len(sets[i] & sets[j])
-            if rows[i][0] == rows[j][0] or both and 100 * both >= 85 * len(sets[i] | sets[j]):
+            if rows[i][0] == rows[j][0] or both and 100 * both >= percent * len(sets[i] | sets[j]):
                 linked.append((i, j))
     roots = components(len(rows), linked)
     smallest = {}
@@ -75,14 +75,14 @@ def corpus(seed):
     return [(3 * i + 1, texts[k]) for i, k in enumerate(order)] + [(None, "one two three four"), (None, None)]
 
 
-@pytest.mark.parametrize(("seed", "block"), [(1, 1024), (2, 3), (3, 2)])
-def test_against_brute_force(spark, monkeypatch, seed, block):
+@pytest.mark.parametrize(("seed", "block", "percent"), [(1, 1024, 85), (2, 3, 85), (3, 2, 85), (4, 4, 80)])
+def test_against_brute_force(spark, monkeypatch, seed, block, percent):
     monkeypatch.setattr(neardup, "BLOCK", block)
     monkeypatch.setattr(neardup, "BROADCAST_ROWS", 10 if seed == 2 else 10**6)
     rows = corpus(seed)
     rows += [rows[5], rows[5]]  # repeated rows
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], SCHEMA)
-    assert sorted((tuple(r) for r in near_duplicates(df).collect()), key=str) == brute(rows)
+    assert sorted((tuple(r) for r in near_duplicates(df, percent=percent).collect()), key=str) == brute(rows, percent)
 
 
 def test_star_of_copies_that_only_the_original_links(spark, monkeypatch):
@@ -97,7 +97,7 @@ def test_star_of_copies_that_only_the_original_links(spark, monkeypatch):
         rows.append((k, " ".join(words)))
     rows.append((1000, " ".join(base)))
     df = spark.createDataFrame([(*r, "", 1) for r in rows], SCHEMA)
-    assert sorted((tuple(r) for r in near_duplicates(df).collect()), key=str) == brute(rows)
+    assert sorted((tuple(r) for r in near_duplicates(df, percent=85).collect()), key=str) == brute(rows)
 
 
 def test_empty(spark):

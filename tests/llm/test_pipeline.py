@@ -50,7 +50,7 @@ def test_run_against_plain_python(spark, folder):
     automaton = model.automaton()
     clean = [r for r in rows if not matches(fold(r[1] or ""), automaton)]
     assert {r[0] for r in rows if r[0] is not None and r[0] < 700} - {r[0] for r in clean} == set(range(0, 700, 5))
-    keep = {d for d, _, _, kept in brute_groups([(r[0], r[1]) for r in clean]) if kept}
+    keep = {d for d, _, _, kept in brute_groups([(r[0], r[1]) for r in clean], 80) if kept}
     first = {}
     for r in clean:
         if r[0] in keep:
