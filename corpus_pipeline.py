@@ -28,8 +28,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    ids = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    """The document with the smallest id of each group of near duplicates: five-word shingles, a similarity of 0.8 or more."""
+    ids = near_duplicates(docs, percent=80).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     one = Window.partitionBy("doc_id").orderBy(*[c for c, kind in docs.dtypes if c != "doc_id" and not kind.startswith("map")])
     kept = docs.join(ids, "doc_id", "left_semi").select("*", F.row_number().over(one).alias("__nth")).where("__nth = 1").select(docs.columns)
     return kept.unionByName(docs.where("doc_id IS NULL"))
