@@ -18,7 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 TEXT_ROWS = 256
 
 #: Bytes of text that one vectorised step works on (a longer single text is worked on whole).
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

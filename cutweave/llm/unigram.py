@@ -113,16 +113,16 @@ class Segmenter:
         if not len(starts):
             none = np.zeros(0, np.int64)
             return none, none, none, none, np.zeros(0)
-        word = np.repeat(np.arange(len(starts)), size)
-        place = ragged(np.zeros(len(starts), np.int64), size)
+        word = np.repeat(np.arange(len(starts), dtype=np.int32), size)
+        place = ragged(np.zeros(len(starts), np.int64), size).astype(np.int32)
         where = starts[word] + place
         lead = data[where]
         head = (lead & 0xC0) != 0x80
         word, place, where, lead = word[head], place[head], where[head], lead[head]
-        width = np.ones(len(lead), np.int64) + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
-        width = np.minimum(width, size[word] - place)
+        width = np.ones(len(lead), np.int32) + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
+        width = np.minimum(width, size[word] - place).astype(np.int32)
         covered = np.zeros(len(word), bool)
-        live, state, matches = np.arange(len(word)), np.zeros(len(word), np.int32), []
+        live, state, matches = np.arange(len(word), dtype=np.int32), np.zeros(len(word), np.int32), []
         for depth in range(self.longest):
             live_in = place[live] + depth < size[word[live]]
             live, state = live[live_in], state[live_in]
@@ -134,11 +134,12 @@ class Segmenter:
             hit = self.value[state] >= 0
             if hit.any():
                 who = live[hit]
-                matches.append((who, np.full(len(who), depth + 1), self.value[state[hit]]))
+                matches.append((who, np.full(len(who), depth + 1, np.int32), self.value[state[hit]]))
                 covered[who[width[who] == depth + 1]] = True
-        bare = np.flatnonzero(~covered)
-        matches.append((bare, width[bare], np.full(len(bare), self.unknown)))
-        who, length, piece = (np.concatenate(x).astype(np.int64) for x in zip(*matches, strict=True))
+        bare = np.flatnonzero(~covered).astype(np.int32)
+        matches.append((bare, width[bare], np.full(len(bare), self.unknown, np.int32)))
+        who, length, piece = (np.concatenate(x) for x in zip(*matches, strict=True))
+        del matches, live, state
         node = np.concatenate([[0], np.cumsum(size + 1)])  # a node before each byte and one at the end of a word
         key = place[who] * (self.longest + 1) + length
         order = np.argsort(key, kind="stable")
@@ -147,7 +148,7 @@ class Segmenter:
         end, gain = begin + length, self.score[piece]
         best = np.full(node[-1], -np.inf)
         best[node[:-1]] = 0
-        back_len, back_piece = np.zeros(node[-1], np.int64), np.zeros(node[-1], np.int64)
+        back_len, back_piece = np.zeros(node[-1], np.int32), np.zeros(node[-1], np.int32)
         edges = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
         for a, b in zip(edges[:-1], edges[1:], strict=True):  # within one place and length every end occurs once
             e = end[a:b]
@@ -206,6 +207,12 @@ class Joiner:
         self.dummy_prefix = pieces.dummy_prefix
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        out: list[str] = []
+        for lo, hi in chunks(offsets, 1 << 18):
+            out += self._decode(ids[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        return out
+
+    def _decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         size = self.size[ids]
         data = self.data[ragged(self.start[ids], size)].tobytes()
         ends = np.concatenate([[0], np.cumsum(size)])[offsets]
@@ -219,7 +226,7 @@ class Joiner:
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = DEFAULT_MODEL, scores: str = "auto", carry: Sequence[str] = ()) -> DataFrame:
     """id, ids array<int>, log_score, and `carry` as a struct `kept`."""
     spark = docs.sparkSession
-    small_batches(spark, 1000)
+    small_batches(spark, 400)
     shared = spark.sparkContext.broadcast(Segmenter(load_pieces(model, scores)))  # as large as the vocabulary
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *([F.struct(*[F.col(c) for c in carry]).alias("kept")] if carry else []))
 
@@ -248,7 +255,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 def decode(encoded: DataFrame, ids_col: str = "ids", model: str = DEFAULT_MODEL, carry: Sequence[str] = ()) -> DataFrame:
     """decoded (string), and `carry` as a struct `kept`."""
     spark = encoded.sparkSession
-    small_batches(spark, 1000)
+    small_batches(spark, 400)
     shared = spark.sparkContext.broadcast(Joiner(load_pieces(model)))
     rows = encoded.select(F.col(ids_col).cast("array<int>").alias("_ids"), *([F.struct(*[F.col(c) for c in carry]).alias("kept")] if carry else []))
 
@@ -256,7 +263,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", model: str = DEFAULT_MODEL,
         for batch in batches:
             lists = batch["_ids"]
             offsets = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
-            texts = shared.value.decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), offsets)
+            texts = shared.value.decode(lists.flatten().to_numpy(zero_copy_only=False), offsets)
             if lists.null_count:
                 texts = [None if x else t for x, t in zip(lists.is_null().to_pylist(), texts, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *([batch["kept"]] if carry else [])], out.names)
