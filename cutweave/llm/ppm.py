@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, Scratch, chunks, id_bucket, small_batches, text_bytes
 
 ORDER = 5
-MAX_ENTRIES = 1 << 21
+MAX_ENTRIES = 1 << 20
 PAD, END = 0xFE, 0xFF  # bytes that UTF-8 never has
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOG = np.log10
@@ -80,10 +80,10 @@ def gram_counts(train: DataFrame) -> DataFrame:
                 code, distinct = pd.factorize(grams(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[0])
                 parts.append((distinct, np.bincount(code, minlength=len(distinct))))
                 held += len(distinct)
-            if held > 2_000_000:
+            if held > 1_500_000:
                 parts = [merged(parts)]
                 held = len(parts[0][0])
-                if held > 1_000_000:
+                if held > 900_000:
                     yield batch_of(parts[0])
                     parts, held = [], 0
         if parts:
@@ -254,7 +254,7 @@ def _words(rows: DataFrame) -> DataFrame:
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = 1, max_entries: int = MAX_ENTRIES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark: SparkSession = docs.sparkSession
-    small_batches(spark, 1000)
+    small_batches(spark, 400)
     scratch = Scratch(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if not _comes_out_the_same(rows):
