@@ -5,7 +5,7 @@
 2. Documents with equal sets become one class, however many they are; the smallest id stands for it.
 3. Documents that share a band key lie in one cluster (components of the graph "document - smallest document of its bucket"), so
    no bucket is ever expanded into pairs. Every linked pair that shares a band is inside one cluster.
-4. Inside clusters pairs are compared in blocks of at most about BLOCK documents: XOR of two odd sketches, population count against a
+4. Inside clusters pairs are compared in blocks of about BLOCK documents or BLOCK_SHINGLES shingles at most: XOR of two odd sketches, population count against a
    limit that a linked pair exceeds with a probability of less than one in a million, then the exact test on the full shingle sets.
    Pairs already connected are skipped. First each block is compared with itself and with the cluster's smallest document; only
    clusters that this leaves in several parts are then compared block against block.
@@ -33,7 +33,10 @@ from .common import LOWER, Scratch, chunks, mix64, small_batches, splitmix, text
 from .vocab import ragged
 
 SHINGLE, BANDS, ROWS, BITS = 5, 48, 6, 1024
-BLOCK = 1024
+#: Documents, and shingles, of a block.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+#: Shingles that are looked up at once.
+GATHER = 1 << 19
 #: Candidates (16 bytes each) that may be broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -137,8 +140,9 @@ def _group_links(ids, part, side, sketch, sets, at, percent: int, limit: int) ->
         if not len(near):
             continue
         marked[columns[at[i] : at[i + 1]]] = True
-        for a in range(0, len(near), 512):
-            some = near[a : a + 512]
+        # one long set at least, many short ones at a time
+        cuts = np.flatnonzero(np.diff(np.cumsum(size[near]) // GATHER, prepend=-1))
+        for some in np.split(near, cuts[1:]):
             shared = np.add.reduceat(marked[columns[ragged(at[some], size[some])]].astype(np.int64), np.cumsum(size[some]) - size[some])
             for j in some[100 * shared >= percent * (size[some] + size[i] - shared)].tolist():
                 if part[j] != part[i]:
@@ -191,9 +195,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = banded.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     together = banded.join(heads, "key").where("rep <> head").select(F.col("rep").alias("src"), F.col("head").alias("dst"))
     clusters = connected_components(together, scratch)
-    found = clusters.select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
-    sizes = found.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    picked = found.join(sizes, "cluster").join(classes.select("rep", "n", "d1", "d2", "sketch"), "rep")
+    found = clusters.select(F.col("id").alias("rep"), F.col("component").alias("cluster")).join(classes.select("rep", "n", "d1", "d2", "sketch"), "rep")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    picked = found.join(found.groupBy("cluster").agg(blocks.alias("blocks")), "cluster")
     picked = scratch.write(picked.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
     members = scratch.write(_with_sets(docs, picked, id_col, text_col))
     own = members.select("cluster", F.col("block").alias("one"), F.col("block").alias("two"), "doc_id", F.col("doc_id").alias("part"), F.lit(-1).alias("side"), "sketch", "shingles")

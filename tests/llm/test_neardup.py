@@ -79,6 +79,8 @@ def corpus(seed):
 def test_against_brute_force(spark, monkeypatch, seed, block, percent):
     monkeypatch.setattr(neardup, "BLOCK", block)
     monkeypatch.setattr(neardup, "BROADCAST_ROWS", 10 if seed == 2 else 10**6)
+    monkeypatch.setattr(neardup, "GATHER", 300 if seed == 2 else 1 << 19)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 700 if seed == 4 else 1 << 20)
     rows = corpus(seed)
     rows += [rows[5], rows[5]]  # repeated rows
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], SCHEMA)
