@@ -10,7 +10,8 @@ A text's raw score is log1p(100 * sum of the weights of its matches / (words + S
 turns it into a probability, interpolated between the levels found.
 
 Training reads at most `max_train` labelled rows, those with the smallest hashes of their ids (a documented bound); near copies
-among them count once. Everything else covers every row. Nulls: a null text is an empty text, which gets the score of a text without
+among them (of one class, with the same smallest hash of five words, and at least NEAR_COPY percent of their five-word shingles shared) count
+once; texts without words are copies of each other. Everything else covers every row. Nulls: a null text is an empty text, which gets the score of a text without
 matches; rows with a null id are scored, never trained on, and are not held out; labels without id or label are ignored; a
 document with several labels is toxic if any says so. Without usable labels every score is 0. Extra columns are ignored.
 """
@@ -31,7 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, id_bucket, small_batches, table, text_bytes, word_hashes, word_spans
+from .common import Scratch, chunks, id_bucket, small_batches, table, text_bytes
+from .neardup import shingle_sets
 
 # Characters that look like Latin letters, and digits and signs written for letters.
 HOMOGLYPHS = {
@@ -44,6 +46,7 @@ LETTER_FOR_SIGN = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "
 SMOOTH = 30.0
 STEM = range(4, 11)
 MIN_SUPPORT, MIN_PRECISION, MAX_TERMS, BINS = 6, 0.8, 5000, 400
+NEAR_COPY = 80  # percent of shared five-word shingles
 
 _GLYPHS = str.maketrans({**HOMOGLYPHS, **{c: None for c in "​‌‍⁠﻿­"}, "l": "i"})
 _SIGNS = str.maketrans(LETTER_FOR_SIGN)
@@ -118,22 +121,43 @@ def _terms(folded: str) -> set[str]:
 
 
 def _training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_train: int, held_out: int) -> DataFrame:
-    """(text, toxic) of the training rows, one of each group of near copies (same smallest hash of five words)."""
+    """(text, toxic) of the training rows, one of each group of near copies: of one class, with the same smallest shingle hash, and similar."""
     marked = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).where("label_id IS NOT NULL AND toxic IS NOT NULL")
     marked = marked.where(id_bucket(F.col("label_id")) != held_out).groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     marked = marked.orderBy(F.xxhash64("label_id"), "label_id").limit(max_train)
     rows = docs.select(F.col(id_col).alias("label_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(marked), "label_id")
 
+    def shingled(texts: pa.Array) -> Iterator[np.ndarray]:
+        data, offsets = text_bytes(texts)
+        for lo, hi in chunks(offsets):
+            sets, at = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            yield from (sets[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch["text"])
-            starts, ends, at = word_spans(data, offsets)
-            words = word_hashes(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)
-            keys = [int(np.min(words[a : max(a + 1, b - 4)] ^ np.roll(words[a:b], -2)[: max(1, b - a - 4)]).view(np.int64)) if b > a else 0 for a, b in zip(at, at[1:], strict=False)]
+            keys = [int(s[:1].view(np.int64)[0]) if len(s) else 0 for s in shingled(batch["text"])]  # sets are sorted
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch["label_id"], batch["text"].cast(pa.string()), batch["toxic"]], ["key", "label_id", "text", "toxic"])
 
+    def copies(a: np.ndarray, b: np.ndarray) -> bool:
+        if 100 * min(len(a), len(b)) < NEAR_COPY * max(len(a), len(b)):
+            return False
+        shared = len(np.intersect1d(a, b, assume_unique=True))
+        return 100 * shared >= NEAR_COPY * (len(a) + len(b) - shared)
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, kept = None, []
+        for batch in batches:
+            stays = []
+            for row, found in zip(zip(batch["key"].to_pylist(), batch["toxic"].to_pylist(), strict=True), shingled(batch["text"]), strict=True):
+                if row != group:
+                    group, kept = row, []
+                stays.append(not any(copies(found, s) for s in kept))
+                if stays[-1]:
+                    kept.append(found.copy())
+            yield batch.select(["text", "toxic"]).filter(pa.array(stays, pa.bool_()))
+
     keys = rows.mapInArrow(keyed, "key long, label_id long, text string, toxic int")
-    return keys.groupBy("key", "toxic").agg(F.min_by("text", "label_id").alias("text")).select("text", "toxic")
+    return keys.repartition("key", "toxic").sortWithinPartitions("key", "toxic", "label_id", "text").mapInArrow(apart, "text string, toxic int")
 
 
 def _counted(rows: DataFrame, per_text) -> DataFrame:

@@ -88,3 +88,20 @@ def test_terms_explained_by_heavier_ones_go(spark):
     model = learn(df, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(1200)], "doc_id long, toxic int"))
     assert set(model.weights) == {"vermin"}
     assert toxicity.MAX_TERMS >= len(model.weights)
+
+
+def test_only_near_copies_count_once(spark):
+    rng = random.Random(6)
+    distinct = [(i, " ".join(["the", f"w{i}", "the"] + [f"x{rng.randint(0, 10**6)}" for _ in range(i % 30)])) for i in range(120)]  # a word repeats at distance two
+    short = [(200 + i, f"short{i}") for i in range(20)] + [(300 + i, f"two words{i}") for i in range(20)]
+    quoting = [(400 + i, "one line that all of these share " + " ".join(f"q{i}w{j}" for j in range(12))) for i in range(60)]
+    long_text = " ".join(f"c{j}" for j in range(300))
+    copied = [(500, long_text), (501, long_text), (502, long_text), (600, ""), (601, " "), (602, None)]
+    rows = distinct + short + quoting + copied
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i, _ in rows], "doc_id long, toxic int")
+    got = sorted(r.text for r in toxicity._training(docs, labels, "doc_id", "text", 40_000, -1).collect())
+    assert [t for t in got if t.strip()] == sorted(t for _, t in distinct + short + quoting + copied[:1])
+    assert sum(not t.strip() for t in got) == 1
+    limited = toxicity._training(docs, labels, "doc_id", "text", 50, -1).count()
+    assert 44 <= limited <= 50
