@@ -6,13 +6,15 @@ coded (estimate C: as often as the context has different symbols, plus what prun
 without the symbols that the longer one excluded; after the empty context all remaining of 256 symbols are equally likely. The
 score is the sum of log10 probabilities, a pretrained code length.
 
-The trie is what every scoring task holds, so its size must have a bound at any corpus size: a (context, symbol) entry is kept if its count
-is at least 1 / MAX_ENTRIES of all training symbols, which leaves at most MAX_ENTRIES entries per order. The rule is relative, the same at
-every size; counts behind it cover all training texts. As counts fall with longer contexts, what a context keeps its suffix keeps.
+The trie grows with the input and is never held in one place. Each input split reports its distinct grams (ORDER bytes and the symbol) and
+how often its training texts have them, dealt into SUFFIXES parts by the last two bytes of the context. All contexts of two bytes and more that a
+gram needs end in the same two bytes, so a part has all of them; orders 0 and 1 have at most 256 and 65,536 entries and are broadcast. A task adds
+up the grams of a part, builds the part's trie, and sends every split the answers to its grams, where they meet the documents. Nothing is pruned
+unless `max_entries` is given: then an entry is kept if its count is at least 1 / max_entries of all training symbols.
 
 All escapes of a chain of contexts are known beforehand, so a position costs one of three forms: the entry in the longest context;
-or an entry further up plus sums stored with two contexts of the chain; or the uniform rest. Equal positions of a batch are looked
-up once.
+or an entry further up plus sums stored with two contexts of the chain; or the uniform rest. Equal positions of a split are scored
+once.
 
 Baseline. Words need counts over the corpus, whose vocabulary has no bound and is never broadcast: each input split reports its distinct
 words, a window adds them up by word, and the counts come back to their split, where documents and words meet. Frames that are not a
@@ -35,10 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, chunks, id_bucket, small_batches, text_bytes
+from .common import LOWER, Scratch, chunks, id_bucket, mix64, small_batches, text_bytes
 
 ORDER = 5
-MAX_ENTRIES = 1 << 20
+#: Parts of the trie, by the last two bytes of contexts; grams of one part of one split that are one row.
+SUFFIXES, BLOB = 256, 4096
 PAD, END = 0xFE, 0xFF  # bytes that UTF-8 never has
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOG = np.log10
@@ -61,35 +64,79 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return windows[text[lead:]].astype(np.int64) & ((1 << (8 * (ORDER + 1))) - 1), offsets + np.arange(n + 1)
 
 
-def gram_counts(train: DataFrame) -> DataFrame:
-    """(gram, n) over all rows of (text), added up per task first."""
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and their added counts."""
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+    code, distinct = pd.factorize(keys)
+    return distinct, np.bincount(code, weights=counts, minlength=len(distinct)).astype(np.int64)
 
-    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
-        code, distinct = pd.factorize(keys)
-        return distinct, np.bincount(code, weights=counts, minlength=len(distinct)).astype(np.int64)
 
-    def batch_of(part: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int64())], ["gram", "n"])
+def _grams(rows: DataFrame) -> DataFrame:
+    """(block, part, gram, n): the distinct grams of each input split by parts of the trie, n as often as training texts have them, as bytes of int64.
+
+    A split of very many grams may report a gram more than once.
+    """
+
+    def packed(block: int, grams_of: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        part = (mix64((grams_of >> 8 & 0xFFFF).astype(np.uint64)) % np.uint64(SUFFIXES)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        part, key, n = part[order], grams_of[order], n[order]
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]).tolist()
+        cuts = [(x, min(x + BLOB, b)) for a, b in zip(edges[:-1], edges[1:], strict=True) for x in range(a, b, BLOB)]
+        columns = [pa.array([block] * len(cuts), pa.int32()), pa.array([int(part[a]) for a, _ in cuts], pa.int32())]
+        yield pa.RecordBatch.from_arrays([*columns, *[pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (key, n)]], ["block", "part", "gram", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
+        block, parts, held = None, [], 0
         for batch in batches:
+            blocks, train = batch["block"].to_numpy(), np.array(batch["train"].to_pylist(), float)
             data, offsets = text_bytes(batch["text"])
-            for lo, hi in chunks(offsets):
-                code, distinct = pd.factorize(grams(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[0])
-                parts.append((distinct, np.bincount(code, minlength=len(distinct))))
-                held += len(distinct)
-            if held > 1_500_000:
-                parts = [merged(parts)]
-                held = len(parts[0][0])
-                if held > 900_000:
-                    yield batch_of(parts[0])
-                    parts, held = [], 0
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(blocks)) + 1, [len(batch)]]).tolist()
+            for first, last in zip(edges[:-1], edges[1:], strict=True):
+                if first == last:
+                    continue
+                if blocks[first] != block:
+                    if parts:
+                        yield from packed(block, *_merged(parts))
+                    block, parts, held = int(blocks[first]), [], 0
+                inner = offsets[first : last + 1]
+                for lo, hi in chunks(inner):
+                    gram, at = grams(data[inner[lo] : inner[hi]], inner[lo : hi + 1] - inner[lo])
+                    code, distinct = pd.factorize(gram)
+                    n = np.bincount(code, weights=np.repeat(train[first + lo : first + hi], np.diff(at)), minlength=len(distinct))
+                    parts.append((distinct, n.astype(np.int64)))
+                    held += len(distinct)
+                    if held > 1_500_000:
+                        parts = [_merged(parts)]
+                        held = len(parts[0][0])
+                        if held > 900_000:
+                            yield from packed(block, *parts[0])
+                            parts, held = [], 0
         if parts:
-            yield batch_of(merged(parts))
+            yield from packed(block, *_merged(parts))
+
+    return rows.select("block", "text", "train").mapInArrow(run, "block int, part int, gram binary, n binary")
+
+
+def _pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.frombuffer(b"".join(batch[c].to_pylist()), np.int64) for c in ("gram", "n"))
 
-    return train.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+def _low_counts(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted (last byte of the context, symbol) keys, 65,536 at most, and their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            gram, count = _pairs(batch)
+            n += np.bincount(gram & 0xFFFF, weights=count, minlength=1 << 16).astype(np.int64)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["key", "n"])
+
+    rows = found.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
+    return tuple(np.array(sorted((r.key, r.n) for r in rows), np.int64).reshape(-1, 2).T)
 
 
 class Model:
@@ -174,47 +221,60 @@ class Model:
         return out
 
 
-class Memo:
-    """A model's answers that a task has had already; at most `most` of them."""
+def _part_model(gram: np.ndarray, count: np.ndarray, low: tuple[np.ndarray, np.ndarray], max_entries: int | None) -> Model:
+    """The model of a part's contexts from its training grams and the counts of order 1 of all parts."""
+    symbols, entries, totals = int(low[1].sum()), [], []
+    for k in range(ORDER + 1):
+        key, n = _sums(*(low if k < 2 else (gram, count)), (1 << (8 * (k + 1))) - 1, 0)
+        kept = n * max_entries >= symbols if max_entries else np.ones(len(key), bool)
+        context, total = _sums(key, n, -1, 8)
+        some = np.isin(context, key[kept] >> 8)
+        entries.append((key[kept], n[kept]))
+        totals.append((context[some], total[some]))
+    return Model(entries, totals)
+
+
+def _sums(key: np.ndarray, n: np.ndarray, mask: int, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys after mask and shift, and their added counts."""
+    distinct, code = np.unique((key & mask) >> shift, return_inverse=True)
+    return distinct, np.bincount(code, weights=n, minlength=len(distinct)).astype(np.int64)
 
-    def __init__(self, model: Model, most: int = 1_500_000):
-        self.model, self.most = model, most
-        self.gram, self.answer = np.zeros(0, np.int64), np.zeros(0)
 
-    def log10(self, gram: np.ndarray) -> np.ndarray:
-        order = np.argsort(gram)
-        key = gram[order]
-        at, known = Model._find(self.gram, key)
-        found = np.empty(len(key))
-        found[known] = self.answer[at[known]]
-        new = key[~known]
-        if len(new):
-            found[~known] = self.model.log10(new)
-            if len(self.gram) + len(new) > self.most:
-                self.gram, self.answer = new, found[~known]
-            else:
-                where = np.searchsorted(self.gram, new)
-                self.gram, self.answer = np.insert(self.gram, where, new), np.insert(self.answer, where, found[~known])
-        out = np.empty(len(key))
-        out[order] = found
-        return out
+def _answers(found: DataFrame, low: tuple[np.ndarray, np.ndarray], max_entries: int | None) -> DataFrame:
+    """(block, gram, worth): log10 probabilities of the rows of _grams, as bytes of float64."""
+    shared = found.sparkSession.sparkContext.broadcast(low)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, parts, held, model = None, [], 0, None
+        for batch in batches:
+            at, asked = batch["part"].to_numpy(), batch["asked"].to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero((np.diff(at) != 0) | (np.diff(asked) != 0)) + 1, [len(batch)]]).tolist()
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b:
+                    continue
+                if at[a] != part:
+                    part, parts, held, model = at[a], [], 0, None
+                some = batch.slice(a, b - a)
+                if not asked[a]:  # the counts of a part come before its questions
+                    gram, n = _pairs(some)
+                    parts.append((gram[n > 0], n[n > 0]))
+                    held += len(parts[-1][0])
+                    if held > 2_000_000 and held > 2 * len(parts[0][0]):
+                        parts = [_merged(parts)]
+                        held = len(parts[0][0])
+                    continue
+                if model is None:
+                    model, parts = _part_model(*_merged(parts), shared.value, max_entries), []
+                texts = some["gram"].to_pylist()
+                worth = model.log10(np.frombuffer(b"".join(texts), np.int64))
+                ends = np.cumsum([0] + [len(t) // 8 for t in texts]).tolist()
+                answers = pa.array([worth[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([some["block"], some["gram"], answers], ["block", "gram", "worth"])
 
-def _train(train: DataFrame, scratch: Scratch, max_entries: int) -> Model:
-    counts = scratch.write(gram_counts(train))
-    symbols = counts.agg(F.sum("n")).first()[0] or 0
-    entries, totals = [], []
-    for k in range(ORDER + 1):
-        grouped = counts.groupBy(F.col("gram").bitwiseAND((1 << (8 * (k + 1))) - 1).alias("key")).agg(F.sum("n").alias("n")) if k < ORDER else counts.select(F.col("gram").alias("key"), "n")
-        kept = F.col("n") * max_entries >= symbols
-        context = grouped.groupBy(F.shiftrightunsigned("key", 8).alias("context")).agg(F.sum("n").alias("total"), F.count_if(kept).alias("kinds")).where("kinds > 0")
-        for rows, out in ((grouped.where(kept), entries), (context.select("context", "total"), totals)):  # at most max_entries rows each
-            got = rows.toArrow()
-            key, n = (got.column(i).to_numpy() for i in (0, 1))
-            order = np.argsort(key)
-            out.append((key[order].astype(np.int64), n[order].astype(np.int64)))
-    scratch.drop(counts)
-    return Model(entries, totals)
+    counts = found.withColumn("asked", F.lit(0)).select("part", "asked", "block", "gram", "n")
+    questions = found.select("part", F.lit(1).alias("asked"), "block", "gram", F.lit(None).cast("binary").alias("n"))
+    both = counts.union(questions).repartition("part").sortWithinPartitions("part", "asked")
+    return both.mapInArrow(run, "block int, gram binary, worth binary")
 
 
 def _comes_out_the_same(docs: DataFrame) -> bool:
@@ -251,7 +311,7 @@ def _words(rows: DataFrame) -> DataFrame:
     return rows.select("block", "text", "train").mapInArrow(run, "block int, word binary, n long")
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = 1, max_entries: int = MAX_ENTRIES) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = 1, max_entries: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark, 400)
@@ -261,7 +321,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = scratch.write(rows)
     rows = rows.withColumn("rest", id_bucket(F.col("doc_id"))).withColumn("train", F.coalesce(F.col("rest") != held_out, F.lit(False)))
     rows = rows.withColumn("held_out", F.coalesce(F.col("rest") == held_out, F.lit(False))).drop("rest").withColumn("block", F.spark_partition_id())
-    model = spark.sparkContext.broadcast(_train(rows.where("train").select("text"), scratch, max_entries))  # bounded by max_entries per order
+    found = scratch.write(_grams(rows))
+    answers = _answers(found, _low_counts(found), max_entries)
     by_word = Window.partitionBy("word")
     words = _words(rows).withColumn("c", F.sum("n").over(by_word)).withColumn("nth", F.row_number().over(by_word.orderBy("block")))
     words = scratch.write(words.select("block", "word", "c", (F.col("nth") == 1).alias("once")))
@@ -269,21 +330,29 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tokens, scale = int(known.n), known.n + 0.5 * (known.v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, worth, unseen, memo = None, {}, set(), Memo(model.value)
+        block, worth, unseen, parts, table = None, {}, set(), [], None
         for batch in batches:
-            blocks, is_word = batch["block"].to_numpy(), batch["kind"].to_numpy() == 0
-            edges = np.concatenate([[0], np.flatnonzero((np.diff(blocks) != 0) | (np.diff(is_word.astype(int)) != 0)) + 1, [len(batch)]]).tolist()
+            blocks, kind = batch["block"].to_numpy(), batch["kind"].to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero((np.diff(blocks) != 0) | (np.diff(kind) != 0)) + 1, [len(batch)]]).tolist()
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 if a == b:
                     continue
                 if blocks[a] != block:
-                    block, worth, unseen = blocks[a], {}, set()
+                    block, worth, unseen, parts, table = blocks[a], {}, set(), [], None
                 part = batch.slice(a, b - a)
-                if is_word[a]:  # the words of a block come before its documents
+                if kind[a] == 0:  # the words and grams of a block come before its documents
                     c, found = part["c"].to_numpy(), part["word"]
                     worth.update(zip(found.to_pylist(), _LOG((c + 0.5) / scale).tolist(), strict=True))
                     unseen.update(found.filter(pa.array(c == 0)).to_pylist())
                     continue
+                if kind[a] == 1:
+                    parts.append(tuple(np.frombuffer(b"".join(part[c].to_pylist()), t) for c, t in (("gram", np.int64), ("worth", np.float64))))
+                    continue
+                if table is None:
+                    keys, answer = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    order, parts = np.argsort(keys), []
+                    table = keys[order], answer[order]
+                    del keys, answer, order
                 base, sizes, known_here = [], [], []
                 for text in part["text"].to_pylist():
                     found = _WORD.findall(text.encode().lower())
@@ -296,13 +365,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 for lo, hi in chunks(offsets):
                     gram, at = grams(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                     code, distinct = pd.factorize(gram)
-                    scores.append(np.add.reduceat(memo.log10(distinct)[code], at[:-1]))
+                    scores.append(np.add.reduceat(table[1][np.searchsorted(table[0], distinct)][code], at[:-1]))
                 columns = [pa.array(x, pa.int64()) for x in (sizes, known_here, [tokens] * len(sizes))]
                 columns += [pa.array(base, pa.float64()), pa.array(np.concatenate(scores))]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["held_out"], *columns], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    empty = {"word": "binary", "c": "long", "doc_id": "long", "held_out": "boolean", "text": "string"}
+    empty = {"word": "binary", "c": "long", "gram": "binary", "worth": "binary", "doc_id": "long", "held_out": "boolean", "text": "string"}
     order = ["block", "kind", *empty]
     add = lambda df, kind: df.withColumn("kind", F.lit(kind)).withColumns({c: F.lit(None).cast(t) for c, t in empty.items() if c not in df.columns}).select(order)
-    both = add(words.drop("once"), 0).union(add(rows.drop("train"), 1)).repartition("block").sortWithinPartitions("block", "kind")
+    both = add(words.drop("once"), 0).union(add(answers, 1)).union(add(rows.drop("train"), 2)).repartition("block").sortWithinPartitions("block", "kind")
     return both.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

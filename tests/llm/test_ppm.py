@@ -95,3 +95,15 @@ def test_no_training_rows_and_empty(spark):
     got = score_documents(spark.createDataFrame([(*r, "", 1, 1) for r in rows], SCHEMA)).collect()
     assert rows and all(r.train_tokens == 0 and r.base_score == 0 and abs(r.score + 10 * math.log10(256)) < 1e-9 for r in got)
     assert score_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_nothing_is_pruned_by_default(spark, monkeypatch):
+    monkeypatch.setattr("cutweave.llm.ppm.BLOB", 16, raising=False)
+    rare = [(i, f"rare{i} thing") for i in range(40)]
+    rows = [(100, "ab" * 600_000), *rare]  # 1.2 million symbols: more than 2^20, so single occurrences went
+    assert not held(100)
+    got = {r.doc_id: r.score for r in score_documents(spark.createDataFrame([(*r, "", 1, 1) for r in rows], SCHEMA).repartition(3)).collect()}
+    brute = Brute([t for i, t in rows if not held(i)], 1 << 40)
+    assert len(got) == len(rows)
+    for i, t in rare:
+        assert math.isclose(got[i], brute.score(t), rel_tol=1e-9)
