@@ -66,7 +66,7 @@ def derivations(edges: DataFrame, m: int, k: tuple[int, int]) -> DataFrame:
     """
     from .reference_methods import component_map
 
-    rows = [(r.id, r.src, r.dst) for r in edges.select("id", "src", "dst").limit(2000).collect()]
+    rows = [(r.id, r.src, r.dst) for r in edges.select("id", "src", "dst").collect()]
     nodes = {n for _, u, v in rows for n in (u, v)}
     found = bonds(edges, m, f"2-{k[1]}").collect()
     by_level: dict[int, list[frozenset[int]]] = {}

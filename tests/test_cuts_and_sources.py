@@ -201,3 +201,9 @@ def test_command_line(spark, tmp_path, capsys):
     call("bonds", g, "2", "4-2", code=2)
     call("bonds", tmp_path / "none.csv", "2", "2", code=3)
     call("bonds", g, code=1)
+
+
+def test_derivations_read_every_edge(spark):
+    rows = [(i, 0, 1) for i in range(2100)] + [(3000, 1, 2), (3001, 2, 3)]
+    cells = {(r.k, r.m): (r.noncan, r.can) for r in R.derivations(spark.createDataFrame(rows, "id int, src int, dst int"), 3, (3, 3)).collect()}
+    assert cells[(3, 3)] == (1, 1)
