@@ -21,14 +21,17 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         both = edges.union(edges.select("dst", "src"))
         up = scratch.write(both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("to")).select("id", F.least("id", "to").alias("to")))
         for _ in range(2):
-            higher = up.select(F.col("id").alias("via"), F.col("to").alias("top"))
+            higher, low = up.select(F.col("id").alias("via"), F.col("to").alias("top")), up
             up = scratch.write(up.join(higher, F.col("to") == F.col("via"), "left").select("id", F.coalesce("top", "to").alias("to")))
-        if labels is None:
-            labels = up.withColumnRenamed("to", "component")
+            scratch.drop(low)
+        last = labels
+        if last is None:
+            step = up.withColumnRenamed("to", "component")
         else:
-            step = up.select(F.col("id").alias("at"), "to")
-            labels = labels.join(step, F.col("component") == F.col("at"), "left").select("id", F.coalesce("to", "component").alias("component"))
-        labels = scratch.write(labels)
-        a, b = up.toDF("src", "a"), up.toDF("dst", "b")
+            onward = up.select(F.col("id").alias("at"), "to")
+            step = last.join(onward, F.col("component") == F.col("at"), "left").select("id", F.coalesce("to", "component").alias("component"))
+        labels = scratch.write(step)
+        a, b, done = up.toDF("src", "a"), up.toDF("dst", "b"), edges
         edges = scratch.write(edges.join(a, "src").join(b, "dst").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
+        scratch.drop(up, done, *([last] if last is not None else []))
     return labels if labels is not None else edges.toDF("id", "component")
