@@ -3,18 +3,21 @@
 Vectors of one label become unit vectors; cosine >= c is a distance of at most r = sqrt(2 - 2c). Pivots split large labels into cells:
 a vector owns the cell of its nearest pivot. A vector x is replicated to the cell of another pivot p unless the triangle inequality
 rules out that the cell owns a vector within r of x: if x is farther than r from the bisector of p and its own pivot, or farther than
-r from the ball around p that holds the cell's own vectors. Cells are then joined independently: each own vector meets all own and
-replicated vectors of its cell, once. Large cells are joined block against block, so no task holds more than two blocks.
+r from the ball around p that holds the cell's own vectors. Both tests are written without divisions and differences of nearly equal
+distances, with a bound on the rounding of inner products, so that pivots may lie as close as they like. Cells are then joined
+independently: each own vector meets all own and replicated vectors of its cell, once. Large cells are joined block against block, so
+no task holds more than two blocks.
 
 Equal vectors of a label are one class with a count, so that copies cost nothing. Links are counted, never written as pairs; a
 block gives only a spanning forest of its links, from which components are found.
 
-The pivots (at most MAX_PIVOTS in all, a bounded sample chosen by hash) decide the cells only; every vector is joined, and results do
-not depend on them. In high dimensions without clusters the bounds rule out little and a vector is replicated to most cells of its
-label: the join is then a blocked comparison of all vectors of a label, still exact.
+The pivots (at most MAX_PIVOTS in all, a bounded sample chosen by hash, none nearer than r / 2 to another of its label) decide the cells
+only; every vector is joined, and results do not depend on them. In high dimensions without clusters the bounds rule out little and a
+vector is replicated to most cells of its label: the join is then a blocked comparison of all vectors of a label, still exact.
 
 A vector that is null, empty, zero, or holds null or non-finite components, and one without label or id, links with nothing and is its
-own component. Vectors of different lengths never link. Repeated rows count each. Extra columns are ignored.
+own component. Vectors of different lengths never link. Ties: a cosine equal to the threshold links. Repeated rows count each. An empty
+table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +33,17 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from .common import Scratch
 
-CELL, BLOCK, MAX_PIVOTS = 2048, 2048, 4096
-_SLACK = 1e-9
+CELL, BLOCK, MAX_PIVOTS = 4096, 4096, 4096
+
+
+def rounding(dim: int) -> float:
+    """More than what rounding adds to an inner product, or twice one, of two unit vectors."""
+    return 8 * (dim + 16) * 2.0**-52
+
+
+def reach(least: float, dim: int) -> float:
+    """The largest distance of unit vectors whose computed cosine is at least `least`."""
+    return math.sqrt(max(0.0, 2 - 2 * least) + rounding(dim))
 
 
 def vector_rows(column: pa.Array) -> tuple[list[np.ndarray | None], np.ndarray]:
@@ -68,7 +80,7 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.float64).reshape(len(values), -1)
 
 
-def _pivots(classes: DataFrame) -> dict[str, np.ndarray]:
+def _pivots(classes: DataFrame, least: float) -> dict[str, np.ndarray]:
     """Pivots of the groups with more than CELL classes, their number in proportion to the group and at most MAX_PIVOTS in all."""
     large = classes.groupBy("grp").agg(F.count("*").alias("size")).where(F.col("size") > CELL)
     total = large.agg(F.sum("size").alias("total")).first().total
@@ -78,11 +90,20 @@ def _pivots(classes: DataFrame) -> dict[str, np.ndarray]:
     large = large.withColumn("wanted", wanted.cast("int")).where("wanted > 1")
     draw = F.pmod(F.xxhash64("unit"), F.lit(1 << 30)) < F.col("wanted") * 3 / F.col("size") * (1 << 30)  # about three times as many as needed
     drawn = classes.join(F.broadcast(large), "grp").where(draw).select("grp", "unit", "wanted").limit(4 * MAX_PIVOTS).collect()
-    out: dict[str, list] = {}
+    candidates: dict[str, list] = {}
     for r in sorted(drawn, key=lambda r: (r.grp, hash_order(r.unit))):
-        if len(out.setdefault(r.grp, [])) < r.wanted:
-            out[r.grp].append(bytes(r.unit))
-    return {g: _matrix(v) for g, v in out.items() if len(v) > 1}
+        candidates.setdefault(r.grp, []).append(r)
+    out = {g: spread(_matrix([bytes(r.unit) for r in rows]), rows[0].wanted, least) for g, rows in candidates.items()}
+    return {g: p for g, p in out.items() if len(p) > 1}
+
+
+def spread(points: np.ndarray, wanted: int, least: float) -> np.ndarray:
+    """The first `wanted` points that are no nearer than half the query radius to one taken before: nearer cells prune nothing."""
+    near, taken = 1 - reach(least, points.shape[1]) ** 2 / 8, []
+    for i in range(len(points)):
+        if len(taken) < wanted and not (taken and (points[taken] @ points[i]).max() > near):
+            taken.append(i)
+    return points[taken]
 
 
 def hash_order(b: bytes) -> int:
@@ -96,16 +117,16 @@ def _own_cells(classes: DataFrame, pivots) -> DataFrame:
             groups, units = np.array(batch["grp"].to_pylist(), object), batch["unit"].to_pylist()
             for g in set(groups.tolist()) & set(pivots.value):
                 at = np.flatnonzero(groups == g)
-                near = _matrix([units[i] for i in at]) @ pivots.value[g].T
-                cell[at] = near.argmax(1)
-                far[at] = np.sqrt(np.maximum(0, 2 - 2 * near.max(1)))
+                x = _matrix([units[i] for i in at])
+                cell[at] = (x @ pivots.value[g].T).argmax(1)
+                far[at] = np.sqrt(((x - pivots.value[g][cell[at]]) ** 2).sum(1))
             yield pa.RecordBatch.from_arrays([batch["grp"], batch["unit"], batch["rep"], batch["n"], pa.array(cell), pa.array(far)], ["grp", "unit", "rep", "n", "cell", "far"])
 
     return classes.select("grp", "unit", "rep", "n").mapInArrow(run, "grp string, unit binary, rep long, n long, cell int, far double")
 
 
-def _visited(owned: DataFrame, pivots, radii, r: float) -> DataFrame:
-    """A row per cell that a class is compared in: its own and those whose own vectors may lie within r."""
+def _visited(owned: DataFrame, pivots, radii, least: float) -> DataFrame:
+    """A row per cell that a class is compared in: its own and those whose own vectors may be linked with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,10 +134,12 @@ def _visited(owned: DataFrame, pivots, radii, r: float) -> DataFrame:
             row, cell = [np.arange(len(batch))], [own]
             for g in set(groups.tolist()) & set(pivots.value):
                 at, p = np.flatnonzero(groups == g), pivots.value[g]
-                d2 = np.maximum(0, 2 - 2 * (_matrix([units[i] for i in at]) @ p.T))
-                between = np.sqrt(np.maximum(0, 2 - 2 * (p @ p.T)))[own[at]]
-                gap = (d2 - d2[np.arange(len(at)), own[at]][:, None]) / np.maximum(2 * between, _SLACK)
-                go = (gap <= r + _SLACK) & (np.sqrt(d2) <= radii.value[g] + r + _SLACK)
+                r, error = reach(least, p.shape[1]), rounding(p.shape[1])
+                near = _matrix([units[i] for i in at]) @ p.T
+                # for y in the cell of p: (x - y)(own - p) >= x(own - p), and at most |x - y| |own - p|
+                between = np.sqrt(np.maximum(0, 2 - 2 * (p @ p.T)) + error)[own[at]]  # at least the distance of the pivots
+                go = near[np.arange(len(at)), own[at]][:, None] - near <= r * between + error
+                go &= (radii.value[g] >= 0) & (2 - 2 * near - error <= (radii.value[g] + r) ** 2)
                 go[np.arange(len(at)), own[at]] = False
                 i, c = np.nonzero(go)
                 row.append(at[i])
@@ -162,13 +185,15 @@ def _joined(visits: DataFrame, least: float) -> DataFrame:
     rows = visits.join(sizes, ["grp", "cell"])
     pick = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    mine = rows.where("own").withColumn("i", pick("n_own")).withColumn("j", to("n_all")).withColumn("side", F.lit(0))
-    rest = rows.where("n_own > 0").withColumn("j", pick("n_all")).withColumn("i", to("n_own")).withColumn("side", F.lit(1))
+    # a row is side 0 (own) in the blocks of its line, side 1 (all) in those of its column, and sent once, as side 2, where they cross
+    mine = rows.where("own").withColumn("i", pick("n_own")).withColumn("j", to("n_all")).withColumn("side", F.lit(0)).where(F.col("j") != pick("n_all"))
+    rest = rows.where("n_own > 0").withColumn("j", pick("n_all")).withColumn("i", to("n_own"))
+    rest = rest.withColumn("side", F.when(F.col("own") & (F.col("i") == pick("n_own")), 2).otherwise(1))
     keys = ["grp", "cell", "i", "j"]
     both = mine.select(*keys, "side", "rep", "n", "unit").union(rest.select(*keys, "side", "rep", "n", "unit"))
 
     def close(group: list[tuple]) -> Iterator[pa.RecordBatch]:
-        sides = [[r for r in group if r[4] == s] for s in (0, 1)]
+        sides = [[r for r in group if r[4] in (s, 2)] for s in (0, 1)]
         if all(sides):
             (a, b) = ((np.array([r[5] for r in s], np.int64), _matrix([r[7] for r in s])) for s in sides)
             yield from _block_join(a, (*b, np.array([r[6] for r in sides[1]], np.int64)), least)
@@ -194,14 +219,15 @@ def embedding_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: st
     units = scratch.write(unit_vectors(rows, id_col, vector_col, label_col).withColumn("grp", F.concat_ws("/", F.length("unit"), "label")))
     part = units.where("unit IS NOT NULL AND label IS NOT NULL AND vec_id IS NOT NULL")
     classes = scratch.write(part.groupBy("grp", "unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
-    pivots = spark.sparkContext.broadcast(_pivots(classes))
+    pivots = spark.sparkContext.broadcast(_pivots(classes, least))
     owned = scratch.write(_own_cells(classes, pivots))
     radii: dict[str, np.ndarray] = {g: np.full(len(p), -np.inf) for g, p in pivots.value.items()}
     if radii:
         for x in owned.where(F.col("grp").isin(list(radii))).groupBy("grp", "cell").agg(F.max("far").alias("far")).collect():  # a row per pivot
             radii[x.grp][x.cell] = x.far
-    visits = _visited(owned, pivots, spark.sparkContext.broadcast(radii), math.sqrt(2 - 2 * least))
-    found = scratch.write(_joined(scratch.write(visits), least))
+    visits = scratch.write(_visited(owned, pivots, spark.sparkContext.broadcast(radii), least))
+    found = scratch.write(_joined(visits, least))
+    scratch.drop(owned, visits)
     links = found.where("kind = 0").groupBy(F.col("a").alias("of")).agg((F.sum("b") - 1).alias("n_links"))
     joined = connected_components(found.where("kind = 1").select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch)
     known = classes.select("grp", "unit", "rep").join(links, F.col("rep") == F.col("of"), "left").join(joined, F.col("rep") == F.col("id"), "left")

@@ -64,5 +64,48 @@ def test_bounds_prune_clustered_data(spark, monkeypatch):
     assert seen[0] < 8 * 800
 
 
+def near_copies(n, dim, noise, seed):
+    """Half of the rows are copies of one vector but for `noise`, half lie around it."""
+    rng = np.random.default_rng(seed)
+    center = rng.normal(size=dim)
+    center /= np.linalg.norm(center)
+    x = np.concatenate([center + noise * rng.normal(size=(n // 2, dim)), center + 0.12 * rng.normal(size=(n - n // 2, dim))])
+    return x[rng.permutation(n)]
+
+
+def links_of(x, least=0.93):
+    u = x / np.abs(x).max(1)[:, None]
+    u /= np.sqrt((u * u).sum(1))[:, None]
+    return np.concatenate([(u[a : a + 1000] @ u.T >= least).sum(1) - 1 for a in range(0, len(u), 1000)])
+
+
+def counted(spark, x):
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    return np.array([r.n_links for r in sorted(embedding_duplicates(df).collect(), key=lambda r: r.vec_id)])
+
+
+@pytest.mark.parametrize("noise", [1e-7, 8e-9, 1e-12, 1e-15])
+def test_pivots_may_be_near_copies(spark, monkeypatch, noise):
+    """Pivots are taken as they come, so that many of them are copies but for the noise."""
+    monkeypatch.setattr(metricjoin, "CELL", 40)
+    monkeypatch.setattr(metricjoin, "spread", lambda points, wanted, least: points[:wanted])
+    x = near_copies(600, 16, noise, 3)
+    assert (counted(spark, x) == links_of(x)).all()
+
+
+def test_near_copies_with_cells_as_built(spark):
+    x = near_copies(14_000, 16, 8e-9, 4)
+    assert metricjoin.CELL < 14_000
+    assert (counted(spark, x) == links_of(x)).all()
+
+
+def test_spread_pivots_are_apart():
+    x = near_copies(400, 8, 1e-9, 5)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    p = metricjoin.spread(x, 50, 0.93)
+    gaps = np.linalg.norm(p[:, None] - p[None], axis=2)[np.triu_indices(len(p), 1)]
+    assert len(p) > 1 and gaps.min() >= metricjoin.reach(0.93, 8) / 2 - 1e-9
+
+
 def test_empty(spark):
     assert embedding_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
