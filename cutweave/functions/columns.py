@@ -68,15 +68,3 @@ def has_coloop(labels: Column) -> Column:
     places = F.sequence(F.lit(1), F.size(labels))
     without = lambda i: F.filter(F.transform(labels, lambda x, j: F.struct((j + 1).alias("j"), x.alias("x"))), lambda s: s["j"] != i)
     return F.when(F.size(labels) == 0, F.lit(False)).otherwise(F.exists(places, lambda i: gf2_rank(F.transform(without(i), lambda s: s["x"])) < rank))
-
-
-def merged_components(edges: Column, n_nodes: Column, removed: Column) -> Column:
-    """Component of each node 0..n-1 after removing edges, by folding over an array of (id, src, dst); for small graphs only."""
-    kept = F.filter(edges, lambda e: ~F.array_contains(removed, e["id"]))
-    start = F.transform(F.sequence(F.lit(0), n_nodes - 1), lambda x: x.cast("int"))
-    return F.aggregate(kept, start, lambda m, e: F.transform(m, lambda c: F.when(c == F.get(m, e["src"]), F.get(m, e["dst"])).otherwise(c)))
-
-
-def separates_all(edges: Column, component: Column, removed: Column) -> Column:
-    """Whether every removed edge runs between two components: putting any back lowers their number."""
-    return F.forall(F.filter(edges, lambda e: F.array_contains(removed, e["id"])), lambda e: F.get(component, e["src"]) != F.get(component, e["dst"]))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
-from ..functions.columns import as_bag, as_set, gf2_rank, has_coloop, merged_components, separates_all
-from .graph import components, cycle_labels
+from collections.abc import Iterator
 
-#: Graphs of at most this many edges may be folded over as an array in an expression.
-ARRAY_EDGES = 2000
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.columns import as_bag, as_set, gf2_rank, has_coloop
+from ..functions.order import ranked
+from . import small
+from .graph import components, cycle_labels, is_small
 
 def cut_uniq(cuts: DataFrame) -> DataFrame:
     """Distinct cuts as sorted bags (repeated ids inside a cut stay, empty cuts go): edges, size. Present by (size, edges)."""
@@ -73,22 +75,25 @@ def components_after(edges: DataFrame, cuts: DataFrame) -> DataFrame:
     return check_cuts(edges, cuts).select("line_no", "edges", "n_components")
 
 
-def edge_array(edges: DataFrame) -> tuple[DataFrame, int]:
-    """One row: the graph as an array of (id, src, dst) with nodes numbered from 0 by rank; and the number of nodes. Small graphs only."""
-    names = sorted({n for r in edges.select("src", "dst").limit(ARRAY_EDGES + 1).collect() for n in r})
-    if edges.limit(ARRAY_EDGES + 1).count() > ARRAY_EDGES:
-        raise ValueError(f"folding over a graph needs at most {ARRAY_EDGES} edges; use the label-based operators")
-    place = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)]) if names else F.create_map()
-    rows = edges.select("id", place[F.col("src")].alias("src"), place[F.col("dst")].alias("dst"))
-    return rows.agg(F.array_sort(F.collect_list(F.struct("id", "src", "dst"))).alias("graph")), len(names)
+def fold_check(edges: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Candidates (edges, ...) with k, the number of components left, and whether all their edges separate; by the definition, without labels.
 
+    The graph goes to every task, so it may have LOCAL_EDGES edges at most (some 12 MB), which is checked.
+    """
+    if not is_small(edges):
+        raise ValueError(f"the check by definition needs a graph of at most {small.LOCAL_EDGES} edges; use the label-based operators")
+    rows = edges.select("id", "src", "dst").toPandas()
+    graph = edges.sparkSession.sparkContext.broadcast(tuple(rows[c].to_numpy() for c in ("id", "src", "dst")))
 
-def fold_check(edges: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Candidates (edges) with k, the number of components left, and whether all their edges separate; by the definition."""
-    graph, n = edge_array(edges)
-    rows = candidates.crossJoin(F.broadcast(graph)).withColumn("component", merged_components(F.col("graph"), F.lit(n), F.col("edges")))
-    rows = rows.withColumn("k", F.size(F.array_distinct("component"))).withColumn("separates", separates_all(F.col("graph"), F.col("component"), F.col("edges")))
-    return rows.drop("graph", "component")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        checker = small.CutChecker(*graph.value)
+        for batch in batches:
+            found = [checker.check(c) for c in batch["edges"].to_pylist()]
+            added = [pa.array([k for k, _ in found], pa.int32()), pa.array([s for _, s in found], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "k", "separates"])
+
+    added = [T.StructField("k", T.IntegerType()), T.StructField("separates", T.BooleanType())]
+    return candidates.mapInArrow(run, T.StructType([*candidates.schema.fields, *added]))
 
 
 def stride_sample(cuts: DataFrame, target: int = 5000) -> DataFrame:
@@ -98,11 +103,7 @@ def stride_sample(cuts: DataFrame, target: int = 5000) -> DataFrame:
     """
     n = cuts.count()
     step = max(1, n // target)
-    rows = cuts.withColumn("__block", F.floor(F.col("line_no") / 65536))
-    before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.groupBy("__block").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    rows = rows.join(blocks, "__block").withColumn("__nth", F.row_number().over(Window.partitionBy("__block").orderBy("line_no")) - 1 + F.col("__before"))
-    return rows.where(F.col("__nth") % step == 0).select(cuts.columns)
+    return ranked(cuts, "line_no").where(F.col("__before") % step == 0).select(cuts.columns)
 
 
 def first_failure(checked: DataFrame) -> DataFrame:

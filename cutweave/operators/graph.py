@@ -5,9 +5,10 @@ Graphs of a checked size are worked on in one task; larger ones by joins in roun
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.order import ranked, successor
 from ..functions.scratch import Scratch
 from . import small
 from .components import connected_components
@@ -111,11 +112,11 @@ def canonical_path(edges: DataFrame, sources: list[int], targets: list[int], exc
 
 def make_connected(edges: DataFrame, all_nodes: DataFrame | None = None) -> DataFrame:
     """Edges that chain the components by their smallest nodes: (id, src, dst), ids after the largest one."""
-    reps = components(edges, all_nodes).select("component").distinct()
-    chain = reps.withColumn("next", F.lead("component").over(Window.orderBy("component"))).where("next IS NOT NULL")
+    reps = components(edges, all_nodes).select(F.col("component").cast("long").alias("component")).distinct()
+    chain = ranked(successor(reps, [], "component").where("__next IS NOT NULL"), "component")
     top = edges.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("top"))
-    number = F.row_number().over(Window.orderBy("component"))
-    return chain.join(F.broadcast(top)).select((F.col("top") + number).cast("int").alias("id"), F.col("component").cast("int").alias("src"), F.col("next").cast("int").alias("dst"))
+    number = F.col("top") + 1 + F.col("__before")
+    return chain.join(F.broadcast(top)).select(number.cast("int").alias("id"), F.col("component").cast("int").alias("src"), F.col("__next").cast("int").alias("dst"))
 
 
 def by_colour(rows: DataFrame, colour: str = "colour", item: str = "id") -> DataFrame:
@@ -128,38 +129,75 @@ def without(edges: DataFrame, removed: DataFrame) -> DataFrame:
     return edges.join(removed.select("id"), "id", "left_anti")
 
 
+def _hash(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col("id").cast("int")).bitwiseAND(F.lit(9223372036854775807))
+
+
+_LABELLED = "id int, src int, dst int, label long, block long, base int"
+
+
 def cycle_labels(edges: DataFrame, seed: int = 0) -> DataFrame:
     """(id, src, dst, label): random cycle-space labels; the XOR over a set of edges is 0 iff it is a cut, but for accidents of 2^-63.
 
-    Edges outside a spanning forest get a hash; an edge of the forest gets the XOR of the hashes of the edges that leave the subtree
-    below it. A loop keeps a hash of its own, so that it is in no cut.
+    Edges outside the minimal spanning forest get a hash; an edge of the forest gets the XOR of the hashes of the edges that leave the
+    subtree below it. A loop keeps a hash of its own, so that it is in no cut. Labels are the same whatever the size of the graph.
     """
-    schema = "id int, src int, dst int, label long"
-    return _local(edges, lambda pdf: small.label_graph(pdf, seed), schema) if is_small(edges) else _labels_by_joins(edges, seed)
+    return labelled(edges, seed).select("id", "src", "dst", "label")
 
 
-def _labels_by_joins(edges: DataFrame, seed: int) -> DataFrame:
-    """BFS trees by frontier joins, then subtree sums by pointer doubling: rounds grow with the log of the depth."""
-    scratch = Scratch(edges.sparkSession)
-    where = scratch.write(components(edges).withColumn("node", F.col("node").cast("long")))
-    near = edges.where("src <> dst").select("id", F.col("src").cast("long").alias("u"), F.col("dst").cast("long").alias("v"))
-    near = scratch.write(near.union(near.select("id", "v", "u")))
-    tree = scratch.write(where.where("node = component").select("node", F.lit(None).cast("long").alias("up"), F.lit(None).cast("int").alias("via")))
-    front = tree
-    while not front.isEmpty():
-        onward = near.join(front.select(F.col("node").alias("u")), "u").join(tree.select(F.col("node").alias("v")), "v", "left_anti")
-        front = onward.groupBy(F.col("v").alias("node")).agg(F.min_by(F.struct("u", "id"), F.struct("u", "id")).alias("by")).select("node", F.col("by.u").alias("up"), F.col("by.id").alias("via"))
-        front = scratch.write(front)
-        tree = scratch.write(tree.union(front))
-    rest = edges.join(tree.select(F.col("via").alias("id")).where("id IS NOT NULL"), "id", "left_anti")
-    rest = rest.withColumn("label", F.xxhash64(F.lit(seed), "id").bitwiseAND(F.lit(9223372036854775807)))
-    ends = rest.where("src <> dst").select(F.col("src").cast("long").alias("node"), "label").union(rest.where("src <> dst").select(F.col("dst").cast("long"), "label"))
-    sums = tree.join(ends.groupBy("node").agg(F.bit_xor("label").alias("s")), "node", "left").select("node", "up", F.coalesce("s", F.lit(0)).alias("s"))
-    jump = scratch.write(sums)
-    while not jump.where("up IS NOT NULL").isEmpty():  # s covers the descendants nearer than 2^round, up is 2^round above
-        below = jump.where("up IS NOT NULL").groupBy(F.col("up").alias("at")).agg(F.bit_xor("s").alias("more"))
-        higher = jump.select(F.col("node").alias("h"), F.col("up").alias("top"))
-        wide = jump.join(below, F.col("node") == F.col("at"), "left").join(higher, F.col("up") == F.col("h"), "left")
-        jump = scratch.write(wide.select("node", F.col("top").alias("up"), F.col("s").bitwiseXOR(F.coalesce("more", F.lit(0))).alias("s")))
-    on_tree = tree.where("via IS NOT NULL").join(jump.select("node", F.col("s").alias("label")), "node").select(F.col("via").alias("id"), "label")
-    return edges.join(on_tree.union(rest.select("id", "label")), "id").select("id", "src", "dst", "label")
+def labelled(edges: DataFrame, seed: int = 0) -> DataFrame:
+    """cycle_labels() with block and base: no minimal cut has edges of two blocks (biconnected blocks; components in large graphs), base is the number of components."""
+    hashed = edges.select("id", "src", "dst", _hash(seed).alias("h"))
+    if is_small(edges):
+        return hashed.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(lambda pdf: small.label_graph(pdf), _LABELLED)
+    return _labels_by_joins(hashed)
+
+
+def labelled_graphs(graphs: DataFrame, seed: int = 0) -> DataFrame:
+    """The same for every graph of (g, id, src, dst), each of a checked size: (g, id, src, dst, label, block, base)."""
+    most = graphs.groupBy("g").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > small.LOCAL_EDGES:
+        raise ValueError(f"of many graphs each may have at most {small.LOCAL_EDGES} edges; work on large graphs one by one")
+
+    def one(key, pdf):
+        out = small.label_graph(pdf)
+        out.insert(0, "g", key[0])
+        return out
+
+    return graphs.select("g", "id", "src", "dst", _hash(seed).alias("h")).groupBy("g").applyInPandas(one, f"g long, {_LABELLED}")
+
+
+def _labels_by_joins(hashed: DataFrame) -> DataFrame:
+    """Labels from an Euler tour of the minimal forest: rounds grow with the log of its size, whatever its depth.
+
+    Every edge of the forest is two arcs; after an arc into a node comes the node's next arc out, in a circle that is cut at the root. Each
+    node's hashes are put on its first arc out. XORs over the rest of the tour come by pointer doubling, and the subtree below an edge
+    is what lies between its two arcs.
+    """
+    scratch = Scratch(hashed.sparkSession)
+    hashed = scratch.write(hashed)
+    forest = scratch.write(_boruvka(hashed).select(F.col("id").alias("forest_id")))
+    where = scratch.write(components(hashed).select(F.col("node").cast("long").alias("node"), "component"))
+    on_tree = F.col("id") == F.col("forest_id")
+    rest = hashed.join(forest, on_tree, "left_anti")
+    plain = rest.where("src <> dst")
+    ends = plain.select(F.col("src").cast("long").alias("at"), "h").union(plain.select(F.col("dst").cast("long"), "h"))
+    sums = ends.groupBy("at").agg(F.bit_xor("h").alias("s"))
+    tree = hashed.join(forest, on_tree, "left_semi").select((F.col("id").cast("long") * 2).alias("arc"), F.col("src").cast("long").alias("u"), F.col("dst").cast("long").alias("v"))
+    out = successor(tree.select("arc", F.col("u").alias("tail")).union(tree.select(F.col("arc") + 1, "v")), ["tail"], "arc")
+    out = out.join(where, F.col("tail") == F.col("node")).join(sums, F.col("tail") == F.col("at"), "left")
+    is_end = F.col("__next").isNull() & (F.col("tail") == F.col("component"))
+    value = F.when(F.col("arc") == F.col("__first"), F.coalesce("s", F.lit(0))).otherwise(F.lit(0))
+    out = scratch.write(out.select("arc", value.alias("value"), F.when(~is_end, F.coalesce("__next", "__first")).alias("turn")))
+    after = out.select(F.col("arc").bitwiseXOR(F.lit(1).cast("long")).alias("arc"), F.col("turn").alias("to"))
+    jump = scratch.write(out.select("arc", F.col("value").alias("x")).join(after, "arc"))
+    while not jump.where("to IS NOT NULL").isEmpty():  # x covers the next 2^round arcs
+        far, last = jump.select(F.col("arc").alias("at"), F.col("x").alias("more"), F.col("to").alias("onward")), jump
+        wide = jump.join(far, F.col("to") == F.col("at"), "left")
+        jump = scratch.write(wide.select("arc", F.col("x").bitwiseXOR(F.coalesce("more", F.lit(0))).alias("x"), F.col("onward").alias("to")))
+        scratch.drop(last)
+    between = jump.join(out, "arc").groupBy(F.floor(F.col("arc") / 2).alias("id")).agg(F.bit_xor(F.col("x").bitwiseXOR(F.col("value"))).alias("label"))
+    known = between.union(rest.select(F.col("id").cast("long"), F.col("h"))).toDF("of", "label")
+    base = where.select("component").distinct().count()
+    found = hashed.join(known, F.col("id") == F.col("of")).join(where, F.col("src") == F.col("node"))
+    return found.select(F.col("id").cast("int").alias("id"), F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"), "label", F.col("component").alias("block"), F.lit(base).cast("int").alias("base"))

@@ -1,13 +1,9 @@
-"""k-bonds of one small graph by plain sets, twice: from labels and from the definition. For differential tests over many graphs."""
+"""k-bonds of one small graph by plain sets, from the definition: what differential tests compare the engine with."""
 
 from __future__ import annotations
 
 from itertools import combinations
 
-import numpy as np
-
-from .small import Forest
-
 Edge = tuple[int, int, int]
 
 
@@ -36,42 +32,3 @@ def by_definition(edges: list[Edge], m: int, low: int, high: int) -> set[tuple[i
             if k >= 2 and low <= k <= high and all(part[u] != part[v] for _, u, v in chosen):
                 out.add((k, tuple(e for e, _, _ in chosen)))
     return out
-
-
-def rank(labels: list[int]) -> int:
-    basis: list[int] = []
-    for x in labels:
-        for b in basis:
-            x = min(x, x ^ b)
-        if x:
-            basis.append(x)
-    return len(basis)
-
-
-def by_labels(edges: list[Edge], m: int, low: int, high: int, seed: int = 0) -> set[tuple[int, tuple[int, ...]]]:
-    forest = Forest(*(np.array(c, np.int64) for c in zip(*edges, strict=True)))
-    label = dict(zip(forest.ids, forest.labels(seed).tolist(), strict=True))
-    base = len(set(forest.component.values()))
-    sums: dict[int, list[tuple[int, ...]]] = {}
-    level: set[tuple[int, ...]] = set()
-    for size in range(1, min(m, len(edges)) + 1):
-        for chosen in combinations(sorted(label), size):
-            total = 0
-            for e in chosen:
-                total ^= label[e]
-            sums.setdefault(total, []).append(chosen)
-    for chosen in sums.get(0, []):
-        if rank([label[e] for e in chosen]) == len(chosen) - 1 and not any(set(x) < set(chosen) for x in sums[0]):
-            level.add(chosen)
-    first, out = level, set()
-    for k in range(base + 1, high + 1):
-        if k > base + 1:
-            joined = {tuple(sorted({*y, *x})) for y in level for x in first}
-            level = {c for c in joined if len(c) <= m and _is_bond([label[e] for e in c], k - base)}
-        out |= {(k, c) for c in level if k >= max(2, low)}
-    return out
-
-
-def _is_bond(labels: list[int], nullity: int) -> bool:
-    r = rank(labels)
-    return len(labels) - r == nullity and all(rank(labels[:i] + labels[i + 1 :]) == r for i in range(len(labels)))

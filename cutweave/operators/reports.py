@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-import time
+from collections.abc import Callable
+from functools import reduce
+from typing import TypeVar
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import round_half_up
+from ..functions.order import ranked
+from ..functions.scratch import Scratch
 from ..sources.generators import density_cells, grid, random_graph
 from .bonds import bonds
 
+T = TypeVar("T")
+
 
 def path_length_profile(log: DataFrame) -> DataFrame:
     """Mean length by stage and level; lengths of 0 only show that the group exists (null mean if there are no others)."""
@@ -23,7 +29,16 @@ def quartile_report(log: DataFrame, keep_zero: bool = False) -> DataFrame:
     Records with no time and no bonds are left out unless keep_zero.
     """
     rows = log if keep_zero else log.where("ms <> 0 OR bonds <> 0")
-    marks = rows.agg(F.percentile("ms", F.array(*[F.lit(x / 4) for x in range(5)])).alias("b"))
+    # exact quartiles from counts per value: the values around each place, and a straight line between them
+    counts = ranked(rows.groupBy("ms").agg(F.count("*").alias("n")), "ms", weight=F.col("n"))
+    total = rows.agg(F.count("*").alias("total"))
+    place = (F.col("total") - 1) * F.col("q") / 4
+    places = total.where("total > 0").select(F.explode(F.array(*[F.lit(q) for q in range(5)])).alias("q"), "total")
+    places = places.select("q", F.floor(place).alias("lower"), F.ceil(place).alias("upper"), (place - F.floor(place)).alias("part"))
+    around = counts.join(F.broadcast(places), (F.col("upper") >= F.col("__before")) & (F.col("lower") < F.col("__before") + F.col("n")))
+    holds = lambda c: F.max(F.when((F.col(c) >= F.col("__before")) & (F.col(c) < F.col("__before") + F.col("n")), F.col("ms").cast("double")))
+    bounds = around.groupBy("q", "part").agg(holds("lower").alias("a"), holds("upper").alias("b")).withColumn("at", F.col("a") + F.col("part") * (F.col("b") - F.col("a")))
+    marks = bounds.agg(F.array_sort(F.collect_list(F.struct("q", "at"))).alias("b")).select(F.when(F.size("b") > 0, F.transform("b", lambda x: x["at"])).alias("b"))  # five rows
     binned = rows.crossJoin(F.broadcast(marks)).withColumn("q", F.when(F.col("ms") <= F.get("b", 1), 0).when(F.col("ms") <= F.get("b", 2), 1).when(F.col("ms") <= F.get("b", 3), 2).otherwise(3))
     sums = binned.groupBy("q").agg(F.count("*").alias("n"), F.sum("bonds").alias("s"))
     bins = marks.where("b IS NOT NULL").select("b", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("q"))
@@ -41,14 +56,27 @@ def pivot_table(rows: DataFrame, value: str, max_m: int | None = None) -> DataFr
     return rows.groupBy("k").pivot("m", list(range(1, top + 1))).agg(F.first(value))
 
 
+def cpu_seconds(spark: SparkSession, work: Callable[[], T]) -> tuple[T, float]:
+    """What work() gives, and the CPU seconds that executors of this application spent in the JVM meanwhile (Python workers not counted)."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def spent() -> float:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).executorCpuTime() for i in range(stages.size())) / 1e9
+
+    before = spent()
+    out = work()
+    return out, spent() - before
+
+
 def km_grid(edges: DataFrame, m: tuple[int, int], k: tuple[int, int]) -> DataFrame:
-    """(k, m, secs, bonds) of enumerating each cell; seconds are wall clock of the job."""
-    out = []
-    for cell in grid(edges.sparkSession, m, k).collect():  # a row per cell, not per edge
-        began = time.perf_counter()
-        n = bonds(edges, cell.m, cell.k).count()
-        out.append((cell.k, cell.m, time.perf_counter() - began, n))
-    return edges.sparkSession.createDataFrame(out, "k int, m int, secs double, bonds long")
+    """(k, m, secs, bonds) of enumerating each cell; seconds are CPU seconds of executors."""
+    spark, out = edges.sparkSession, []
+    for cell in grid(spark, m, k).collect():  # a row per cell, not per edge
+        n, secs = cpu_seconds(spark, lambda cell=cell: bonds(edges, cell.m, cell.k).count())
+        out.append((cell.k, cell.m, secs, n))
+    return spark.createDataFrame(out, "k int, m int, secs double, bonds long")
 
 
 def km_counts(edges: DataFrame, m: int, k: tuple[int, int]) -> DataFrame:
@@ -59,42 +87,37 @@ def km_counts(edges: DataFrame, m: int, k: tuple[int, int]) -> DataFrame:
 
 
 def derivations(edges: DataFrame, m: int, k: tuple[int, int]) -> DataFrame:
-    """(k, m, noncan, can): how many chains of successive splits lead to k-bonds, and how many k-bonds there are.
+    """(k, m, noncan, can): how many chains of successive splits lead to k-bonds of at most m edges, and how many k-bonds there are.
 
-    A chain splits one component at a time; the smallest edges of its steps rise. The number of chains is counted from the
-    definition on small graphs: pairs (bond of one level, bond of the next that contains it and adds a 2-bond of the rest).
+    A chain is a 2-bond of the graph, then a 2-bond of what it leaves, and so on, the smallest edges of its steps rising: what a search that
+    splits one component after the other writes, duplicates included. The sets that it passes are bonds of one part more each time, so chains
+    are counted level by level: a bond is joined with the bonds of the level before that lie inside it, which meet it in their smallest edge.
     """
-    from .reference_methods import component_map
-
-    rows = [(r.id, r.src, r.dst) for r in edges.select("id", "src", "dst").collect()]
-    nodes = {n for _, u, v in rows for n in (u, v)}
-    found = bonds(edges, m, f"2-{k[1]}").collect()
-    by_level: dict[int, list[frozenset[int]]] = {}
-    for r in found:
-        by_level.setdefault(r.k, []).append(frozenset(r.edges))
-    chains = {(c, min(c)): 1 for c in by_level.get(2, [])}
-    totals = {2: chains}
-    for level in range(3, k[1] + 1):
-        grown: dict[tuple[frozenset[int], int], int] = {}
-        for (y, last), n in totals[level - 1].items():
-            for c in by_level.get(level, []):
-                if y < c:
-                    added = c - y
-                    part = component_map(rows, nodes, c)
-                    if min(added) >= last and len({part[u] for e, u, v in rows if e in added} | {part[v] for e, u, v in rows if e in added}) == 2:
-                        grown[(c, min(added))] = grown.get((c, min(added)), 0) + n
-        totals[level] = grown
-    cells = [(c.k, c.m) for c in grid(edges.sparkSession, (3, m), k, lead=0).collect()]
-    out = [(a, b, sum(n for (c, _), n in totals.get(a, {}).items() if len(c) <= b), sum(len(c) <= b for c in by_level.get(a, []))) for a, b in cells]
-    return edges.sparkSession.createDataFrame(out, "k int, m int, noncan long, can long")
+    scratch = Scratch(edges.sparkSession)
+    found = scratch.write(bonds(edges, m, f"2-{k[1]}"))
+    first = found.where("k = 2").select("edges", F.array_min("edges").alias("last"), F.lit(1).cast("long").alias("n"))
+    chains, counted = scratch.write(first), []
+    for level in range(2, k[1] + 1):
+        if level > 2:
+            wider = found.where(F.col("k") == level).select(F.col("edges").alias("to"), F.explode("edges").alias("at"))
+            inside = wider.join(chains.withColumn("at", F.array_min("edges")), "at").where(F.size(F.array_except("edges", "to")) == 0)
+            step = F.array_min(F.array_except("to", "edges"))
+            grown = inside.withColumn("least", step).where("least > last").groupBy(F.col("to").alias("edges"), F.col("least").alias("last"))
+            chains = scratch.write(grown.agg(F.sum("n").alias("n")))
+        counted.append(chains.groupBy(F.lit(level).alias("k"), F.size("edges").alias("size")).agg(F.sum("n").alias("noncan")))
+    chain_sizes = reduce(DataFrame.union, counted)
+    sizes = found.groupBy("k", F.size("edges").alias("size")).agg(F.count("*").alias("can")).join(chain_sizes, ["k", "size"], "left")
+    cells = grid(edges.sparkSession, (3, m), k, lead=0).withColumnsRenamed({"k": "ck", "m": "cm"})
+    both = cells.join(sizes, (F.col("ck") == F.col("k")) & (F.col("size") <= F.col("cm")), "left").groupBy("ck", "cm")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    return both.agg(total("noncan"), total("can")).toDF("k", "m", "noncan", "can")
 
 
 def density_grid(spark, n: int, max_edges: int, trials: int, m: int, k: int, seed: int = 0) -> DataFrame:
-    """(n_edges, trial, ms, bonds) on random graphs, a run per cell."""
+    """(n_edges, trial, ms, bonds) on random graphs, a run per cell; ms are CPU milliseconds of executors."""
     out = []
     for cell in density_cells(spark, n, max_edges, trials).collect():
         graph = random_graph(spark, n, cell.n_edges, cell.n_edges, seed=seed * 1_000_003 + cell.n_edges * 1009 + cell.trial)
-        began = time.perf_counter()
-        found = bonds(graph, m, k).count()
-        out.append((cell.n_edges, cell.trial, int((time.perf_counter() - began) * 1000), found))
+        found, secs = cpu_seconds(spark, lambda graph=graph: bonds(graph, m, k).count())
+        out.append((cell.n_edges, cell.trial, int(secs * 1000), found))
     return spark.createDataFrame(out, "n_edges int, trial int, ms long, bonds long")

@@ -13,14 +13,6 @@ import pandas as pd
 LOCAL_EDGES = 500_000
 
 
-def hashed(ids: np.ndarray, seed: int) -> np.ndarray:
-    """Non-negative 63-bit hashes of ids, the same everywhere (finaliser of splitmix64)."""
-    x = (ids.astype(np.int64).view(np.uint64) + np.uint64(seed + 1)) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((x ^ (x >> np.uint64(31))) & np.uint64(0x7FFFFFFFFFFFFFFF)).view(np.int64)
-
-
 class Forest:
     """Minimal spanning forest by id, with parents, an order from the roots outwards, and the components."""
 
@@ -59,16 +51,14 @@ class Forest:
                         self.parent[v] = (u, i)
                         todo.append(v)
 
-    def labels(self, seed: int) -> np.ndarray:
-        """Cycle-space labels by edge position: XOR over a set is 0 iff (but for hash accidents) the set is a cut."""
-        ids = np.array(self.ids, np.int64)
-        label = hashed(ids, seed)
-        label[self.tree] = 0
+    def labels(self, hashes) -> list[int]:
+        """Cycle-space labels by edge position: XOR over a set is 0 iff (but for hash accidents) the set is a cut. hashes: by edge position."""
+        label, on_tree = list(hashes), set(self.tree)
         below = dict.fromkeys(self.component, 0)
-        for i in sorted(set(range(len(ids))) - set(self.tree)):
-            if self.src[i] != self.dst[i]:
-                below[self.src[i]] ^= int(label[i])
-                below[self.dst[i]] ^= int(label[i])
+        for i, h in enumerate(label):
+            if i not in on_tree and self.src[i] != self.dst[i]:
+                below[self.src[i]] ^= h
+                below[self.dst[i]] ^= h
         for v in reversed(self.outwards):
             if v in self.parent:
                 u, i = self.parent[v]
@@ -76,10 +66,104 @@ class Forest:
                 below[u] ^= below[v]
         return label
 
+    def blocks(self) -> list[int]:
+        """By edge position an id of its biconnected block. No minimal cut has edges of two blocks."""
+        depth = {}
+        for v in self.outwards:
+            depth[v] = depth[self.parent[v][0]] + 1 if v in self.parent else 0
+        block = list(range(len(self.ids)))
+        top = {i: u for u, i in self.parent.values()}  # the node of a block next to the root, by the block's id
+
+        def find(i: int) -> int:
+            while block[i] != i:
+                block[i] = block[block[i]]
+                i = block[i]
+            return i
+
+        on_tree = set(self.tree)
+        for i, (u, v) in enumerate(zip(self.src, self.dst, strict=True)):
+            if i in on_tree or u == v:
+                continue
+            whole = None  # the path between the ends in the forest becomes one block, in strides of the blocks it has
+            while u != v:
+                if depth[u] < depth[v]:
+                    u, v = v, u
+                own = find(self.parent[u][1])
+                u = top[own]
+                if whole is None:
+                    whole = own
+                elif whole != own:
+                    block[own] = whole
+                    top[whole] = min(top[whole], top[own], key=depth.__getitem__)
+            block[i] = whole
+        return [self.ids[find(i)] for i in range(len(block))]
+
+
+class CutChecker:
+    """What removing a cut leaves of one graph, by the definition: the pieces of its forest, joined by the other edges."""
+
+    def __init__(self, ids, src, dst):
+        f = Forest(ids, src, dst)
+        self.place = {i: k for k, i in enumerate(f.ids)}
+        self.ends = list(zip(f.src, f.dst, strict=True))
+        first = {v: k for k, v in enumerate(sorted(set(f.component.values())))}
+        self.n = len(first)
+        near: dict[int, list[int]] = {}
+        for v, (u, _) in f.parent.items():
+            near.setdefault(u, []).append(v)
+        self.enter, self.leave, clock = {}, {}, 0
+        for root in sorted(first):
+            todo = [(root, False)]
+            while todo:
+                v, done = todo.pop()
+                if done:
+                    self.leave[v] = clock
+                    continue
+                self.enter[v] = clock
+                clock += 1
+                todo.append((v, True))
+                todo += [(w, False) for w in near.get(v, ())]
+        self.below = {i: v for v, (_, i) in f.parent.items()}  # the node under each edge of the forest, by position
+        self.start = np.array([first[f.component[v]] for v in sorted(self.enter, key=self.enter.__getitem__)], np.int64)
+        self.rest = np.array(sorted(set(range(len(f.ids))) - set(f.tree)), np.int64)
+        self.a = np.array([self.enter[f.src[i]] for i in self.rest], np.int64)
+        self.b = np.array([self.enter[f.dst[i]] for i in self.rest], np.int64)
+
+    def check(self, cut: list[int]) -> tuple[int, bool]:
+        """Components left, and whether every edge of the cut lies between two of them; unknown ids are left out."""
+        at = {self.place[e] for e in cut if e in self.place}
+        spans = sorted((self.enter[self.below[i]], self.leave[self.below[i]]) for i in at if i in self.below)
+
+        def piece(where: np.ndarray) -> np.ndarray:
+            out = self.start[where]
+            for k, (lo, hi) in enumerate(spans):  # outer ones first
+                out[(where >= lo) & (where < hi)] = self.n + k
+            return out
+
+        root = list(range(self.n + len(spans)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        a, b = piece(self.a), piece(self.b)
+        links = np.flatnonzero(a != b)
+        for i, x, y in zip(self.rest[links].tolist(), a[links].tolist(), b[links].tolist(), strict=True):
+            if i not in at:
+                root[find(x)] = find(y)
+        k = sum(find(x) == x for x in range(len(root)))
+        ends = piece(np.array([self.enter[v] for i in at for v in self.ends[i]], np.int64)).tolist()
+        return k, all(find(x) != find(y) for x, y in zip(ends[::2], ends[1::2], strict=True))
+
 
-def label_graph(graph: pd.DataFrame, seed: int = 0) -> pd.DataFrame:
+def label_graph(graph: pd.DataFrame) -> pd.DataFrame:
+    """id, src, dst, label, block, base (components of the graph) from id, src, dst, h (a hash per edge)."""
     f = Forest(graph["id"], graph["src"], graph["dst"])
-    return pd.DataFrame({"id": f.ids, "src": f.src, "dst": f.dst, "label": f.labels(seed)})
+    hashes = graph["h"].to_numpy()[np.argsort(graph["id"].to_numpy(), kind="stable")].tolist()
+    base = len(set(f.component.values()))
+    return pd.DataFrame({"id": f.ids, "src": f.src, "dst": f.dst, "label": f.labels(hashes), "block": f.blocks(), "base": base})
 
 
 def forest_ids(graph: pd.DataFrame) -> pd.DataFrame:

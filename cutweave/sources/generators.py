@@ -2,29 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.order import ranked
+from ..functions.scratch import Scratch
 from ..operators.graph import make_connected
 
 MAX_ENUMERATED = 6
 
 
+def _draw(text: Column) -> Column:
+    """A number of 60 bits from the MD5 of a text, the same in any engine."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def random_graph(spark: SparkSession, n: int, min_edges: int, max_edges: int, seed: int = 0, connected: bool = True) -> DataFrame:
     """A simple graph on 0..n-1 with a number of edges drawn from [min_edges, max_edges]; links added for connection may exceed it.
 
-    Every pair gets a hash of (seed, pair); the pairs with the smallest hashes are the edges, so a seed gives one graph anywhere.
+    Pairs of nodes are numbered (0,1), (0,2), (1,2), (0,3), ...; the i-th draw is a pair number from MD5 of "seed/i", and the pairs that come up first are
+    the edges. Of more than half of all pairs, those that are no edges are drawn instead. A seed gives one graph anywhere.
     """
-    if not 0 <= min_edges <= max_edges <= n * (n - 1) // 2:
+    pairs = n * (n - 1) // 2
+    if not 0 <= min_edges <= max_edges <= pairs:
         raise ValueError("there are not that many pairs of nodes")
-    wanted = min_edges + spark.range(1).select(F.pmod(F.xxhash64(F.lit(seed), F.lit("edges")), F.lit(max_edges - min_edges + 1))).first()[0]
-    first = spark.range(n).select(F.col("id").cast("int").alias("src"))
-    pairs = first.select("src", F.explode(F.sequence(F.col("src") + 1, F.lit(n - 1))).alias("dst")).where(F.col("src") < n - 1)
-    chosen = pairs.withColumn("h", F.xxhash64(F.lit(seed), "src", "dst")).orderBy("h", "src", "dst").limit(wanted)
-    rows = chosen.select((F.row_number().over(Window.orderBy("h", "src", "dst")) - 1).alias("id"), "src", "dst")
+    wanted = min_edges + spark.range(1).select(_draw(F.lit(f"{seed}/edges")) % (max_edges - min_edges + 1)).first()[0]
+    few, draws = min(wanted, pairs - wanted), 0
+    drawn = spark.range(0).select(F.col("id").alias("pair"), F.col("id").alias("nth"))
+    while few and (not draws or drawn.count() < few):
+        draws = 2 * draws or 2 * few + 64
+        drawn = spark.range(draws).select((_draw(F.concat(F.lit(f"{seed}/"), F.col("id").cast("string"))) % pairs).alias("pair"), F.col("id").alias("nth"))
+        drawn = drawn.groupBy("pair").agg(F.min("nth").alias("nth"))
+    drawn = ranked(drawn, "nth").where(F.col("__before") < few).select("pair", F.col("__before").alias("id"))
+    if few < wanted:
+        drawn = ranked(spark.range(pairs).withColumnRenamed("id", "pair").join(drawn.select("pair"), "pair", "left_anti"), "pair").select("pair", F.col("__before").alias("id"))
+    dst = F.floor((F.sqrt(F.col("pair") * 8 + 1) + 1) / 2)
+    rows = drawn.select(F.col("id").cast("int").alias("id"), (F.col("pair") - dst * (dst - 1) / 2).cast("int").alias("src"), dst.cast("int").alias("dst"))
+    rows = Scratch(spark).write(rows)
     if not connected:
         return rows
-    rows = spark.createDataFrame(rows.collect(), "id int, src int, dst int")
     everything = spark.range(n).select(F.col("id").cast("int").alias("node"))
     return rows.union(make_connected(rows, everything))
 

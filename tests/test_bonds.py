@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cutweave.operators import bonds as B
-from cutweave.operators.reference_methods import by_definition, by_labels
+from cutweave.operators.reference_methods import by_definition
 from cutweave.plans.derived import TWO_SQUARES, graph5
 from cutweave.sources.generators import all_connected_graphs
 
@@ -44,11 +44,22 @@ def test_two_bonds_of_the_small_graph(spark):
     assert got == set(want.split())
 
 
-def test_methods_agree_on_random_multigraphs():
-    rng = random.Random(1)
-    for i in range(300):
-        edges = random_multigraph(rng, connected=i % 3 > 0)
-        assert by_labels(edges, 5, 2, 5) == by_definition(edges, 5, 2, 5), edges
+def random_graphs(spark, n, seed):
+    rng = random.Random(seed)
+    rows = [(g, *e) for g in range(n) for e in random_multigraph(rng, connected=g % 3 > 0)]
+    return spark.createDataFrame(rows, "graph_id long, id int, src int, dst int")
+
+
+def test_engine_agrees_with_the_definition_on_random_multigraphs(spark):
+    assert B.differential(random_graphs(spark, 300, 1), 6, "2-5").count() == 0
+
+
+def test_differential_finds_an_injected_fault(spark, monkeypatch):
+    graphs, whole = random_graphs(spark, 20, 3), B.two_bonds
+    monkeypatch.setattr(B, "two_bonds", lambda labels, m: whole(labels, m).where("size(edges) <> 2 OR g <> 4"))
+    diff = B.differential(graphs, 3, "2")
+    assert {(r.graph_id, r.method) for r in diff.collect()} == {(4, "definition")}
+    assert {r.graph_id for r in B.failing_graphs(graphs, diff).collect()} == {4}
 
 
 def test_join_algebra_against_the_definition(spark):
@@ -81,8 +92,8 @@ def test_failing_graphs_are_kept(spark):
 
 def test_accidents_are_caught(spark, monkeypatch):
     """With labels that collide, the exact check removes what the definition does not accept."""
-    label = lambda e, seed=0: e.select("id", "src", "dst", F.lit(5).cast("long").alias("label"))
-    monkeypatch.setattr(B, "cycle_labels", label)
+    label = lambda e, seed=0: e.select("id", "src", "dst", F.lit(5).cast("long").alias("label"), F.lit(0).cast("long").alias("block"), F.lit(1).alias("base"))
+    monkeypatch.setattr(B, "labelled", label)
     loose, exact = found(B.bonds(graph5(spark), 2, 2)), found(B.bonds(graph5(spark), 2, 2, exact=True))
     assert len(loose) == 45 and len(exact) == 7
 
