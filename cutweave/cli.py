@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from .functions.columns import as_line
+from .functions.scratch import Scratch
 from .operators import bonds as B
 from .operators import cuts as C
 from .operators import reports as R
@@ -40,7 +41,7 @@ def parser() -> argparse.ArgumentParser:
     command("names", "names", "lists")
     command("graph6", "lines", rows=yes)
     command("dot", "edges")
-    command("differential", "lines", "m", "k")
+    command("differential", "lines", "m", "k", nodes={"type": int, "default": 8}, edges={"default": "8-14"}, count={"type": int, "default": 100}, seed={"type": int, "default": 0}, failing={})
     command("random", "nodes", "edges", seed={"type": int, "default": 0})
     command("grid", "edges", "m", "k")
     command("chains", "edges", "m", "k")
@@ -89,8 +90,16 @@ def run(spark: SparkSession, a: argparse.Namespace) -> DataFrame | None:
     if a.command == "dot":
         return writers.dot_text(edges()).orderBy("line").select("value")
     if a.command == "differential":
-        graphs = readers.graph6_edges(text(a.lines).select(F.col("line_no").alias("graph_id"), F.col("value").alias("g6")))
-        diff = B.differential(graphs, int(a.m), a.k)
+        if a.lines == "random":
+            graphs = generators.random_graphs(spark, a.count, a.nodes, *B.parse_k(a.edges), a.seed)
+        else:
+            graphs = readers.graph6_edges(text(a.lines).select(F.col("line_no").alias("graph_id"), F.col("value").alias("g6"))).drop("n")
+        scratch = Scratch(spark)
+        graphs = scratch.write(graphs)
+        diff = scratch.write(B.differential(graphs, int(a.m), a.k))
+        print(f"Graphs retrieved: {graphs.select('graph_id').distinct().count()}", file=sys.stderr)
+        if a.failing:
+            writers.write_graphs(B.failing_graphs(graphs, diff), a.failing)
         return diff.select(F.concat_ws(" ", "graph_id", "method", as_line(F.col("edges"))).alias("value"))
     if a.command == "random":
         low, high = B.parse_k(a.edges)
@@ -105,7 +114,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> DataFrame | None:
         return _rows(R.path_length_profile(readers.path_log(text(a.log))).orderBy("stage", "level"), ["stage", "level", "avg_len"], " ")
     if a.command == "quartiles":
         report = R.quartile_report(readers.runtime_log(text(a.log)), a.keep_zero).orderBy("quartile")
-        return writers.tex_rows(report, ["low", "high", "records", "bonds"]).select("value")
+        return writers.quartile_text(report).orderBy("quartile").select("value")
     if a.value == "percent":
         table = R.pivot_table(R.noncanonicity_percent(readers.noncanonicity_table(text(a.table))), "percent")
     else:

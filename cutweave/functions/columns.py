@@ -39,6 +39,23 @@ def round_half_up(value: Column, digits: int) -> Column:
     return F.round(value, digits)
 
 
+def general(value: Column) -> Column:
+    """A double as %g writes it: six significant digits without trailing zeros, with an exponent below 1e-4 and from 1e6 on.
+
+    A value whose shortest decimal text lies halfway between two results is rounded up.
+    """
+    short = lambda text: F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    coded = F.format_string("%.5e", F.abs(value))  # d.ddddde+dd
+    power = F.substring_index(coded, "e", -1).cast("int")
+    digits = F.replace(F.substring_index(coded, "e", 1), F.lit("."), F.lit(""))
+    fixed = F.when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)).otherwise(
+        F.concat(F.substr(digits, F.lit(1), power + 1), F.lit("."), F.substr(digits, power + 2, F.lit(6)))
+    )
+    wide = F.concat(short(F.substring_index(coded, "e", 1)), F.lit("e"), F.substring_index(coded, "e", -1))
+    text = F.when(value == 0, "0").when((power < -4) | (power >= 6), wide).otherwise(short(fixed))
+    return F.concat(F.when(value < 0, "-").otherwise(""), text)
+
+
 def base_name(path: Column, suffix: str = ".csv") -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), rf"\Q{suffix}\E$", "")
 

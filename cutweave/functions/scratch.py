@@ -44,9 +44,10 @@ class Scratch:
         self.n += 1
         return f"{self.base}/{self.n}"
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, *folders: str) -> DataFrame:
+        """The table read back; a filter on one of the columns `folders` reads those folders only."""
         path = self.path()
-        df.write.parquet(path)
+        (df.write.partitionBy(*folders) if folders else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out

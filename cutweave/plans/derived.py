@@ -12,7 +12,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Two four-cycles joined by two edges.
+# The small example graph that results have to match, two four-cycles joined by two edges: (id, source, target).
 TWO_SQUARES = [(0, 0, 1), (1, 1, 2), (2, 2, 3), (3, 3, 0), (4, 4, 5), (5, 5, 6), (6, 6, 7), (7, 7, 4), (8, 2, 5), (9, 3, 4)]
 
 
@@ -41,14 +41,22 @@ def g_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A ring of the 25 nations and the eight heaviest trading pairs."""
+    """A ring of the 25 nations, and an edge from each of them to the nation that it trades most with; these come after the ring, by (u, v)."""
     ring = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("id"), F.col("n_nationkey").cast("int").alias("src"), ((F.col("n_nationkey") + 1) % 25).cast("int").alias("dst"))
     pairs = _trade_pairs(spark, sf_dir).where("cn <> sn").groupBy(F.least("cn", "sn").cast("int").alias("u"), F.greatest("cn", "sn").cast("int").alias("v")).agg(F.sum("n").alias("n"))
-    heavy = pairs.orderBy(F.desc("n"), "u", "v").limit(8)
-    chords = heavy.select((F.row_number().over(Window.orderBy(F.desc("n"), "u", "v")) + 24).alias("id"), F.col("u").alias("src"), F.col("v").alias("dst"))
+    both = pairs.withColumn("nation", F.explode(F.array("u", "v")))
+    most = both.groupBy("nation").agg(F.max_by(F.struct("u", "v"), F.struct("n", -F.col("u"), -F.col("v"))).alias("p")).select("p.u", "p.v").distinct()
+    chords = most.select((F.row_number().over(Window.orderBy("u", "v")) + 24).alias("id"), F.col("u").alias("src"), F.col("v").alias("dst"))
     return ring.union(chords)
 
 
+def g_homes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer and supplier hangs on its nation: nodes 0..24 are nations, customers 100, 102, ..., suppliers 101, 103, ...; an edge has the id of its outer node."""
+    home = lambda t, key, nation, first: table(spark, sf_dir, t).select((F.col(key) * 2 + first).cast("int").alias("id"), F.col(nation).cast("int").alias("dst"))
+    both = home("customer", "c_custkey", "c_nationkey", 100).union(home("supplier", "s_suppkey", "s_nationkey", 101))
+    return both.select("id", F.col("id").alias("src"), "dst")
+
+
 def g_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations hang on their regions (nodes 25..29), which form a ring."""
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("id"), F.col("n_nationkey").cast("int").alias("src"), (F.col("n_regionkey") + 25).cast("int").alias("dst"))
@@ -78,9 +86,12 @@ rp AS (SELECT DISTINCT least(a.n_regionkey, b.n_regionkey) AS src, greatest(a.n_
 g AS (SELECT CAST(row_number() OVER (ORDER BY src, dst) - 1 AS INTEGER) AS id, CAST(src AS INTEGER) AS src, CAST(dst AS INTEGER) AS dst FROM rp)"""
 TRADE_SQL = f"""{TRADE_PAIRS_SQL},
 hp AS (SELECT least(cn, sn) AS u, greatest(cn, sn) AS v, sum(n) AS n FROM tp WHERE cn <> sn GROUP BY 1, 2),
-hr AS (SELECT *, row_number() OVER (ORDER BY n DESC, u, v) AS r FROM hp),
+hb AS (SELECT u, v, row_number() OVER (PARTITION BY x ORDER BY n DESC, u, v) AS r FROM (SELECT u AS x, * FROM hp UNION ALL SELECT v, * FROM hp)),
+hr AS (SELECT u, v, row_number() OVER (ORDER BY u, v) AS r FROM (SELECT DISTINCT u, v FROM hb WHERE r = 1)),
 g AS (SELECT CAST(n_nationkey AS INTEGER) AS id, CAST(n_nationkey AS INTEGER) AS src, CAST((n_nationkey + 1) % 25 AS INTEGER) AS dst FROM nation
-      UNION ALL SELECT CAST(r + 24 AS INTEGER), CAST(u AS INTEGER), CAST(v AS INTEGER) FROM hr WHERE r <= 8)"""
+      UNION ALL SELECT CAST(r + 24 AS INTEGER), CAST(u AS INTEGER), CAST(v AS INTEGER) FROM hr)"""
+HOMES_SQL = """g AS (SELECT CAST(c_custkey * 2 + 100 AS INTEGER) AS id, CAST(c_custkey * 2 + 100 AS INTEGER) AS src, CAST(c_nationkey AS INTEGER) AS dst FROM customer
+      UNION ALL SELECT CAST(s_suppkey * 2 + 101 AS INTEGER), CAST(s_suppkey * 2 + 101 AS INTEGER), CAST(s_nationkey AS INTEGER) FROM supplier)"""
 GEO_SQL = """g AS (SELECT CAST(n_nationkey AS INTEGER) AS id, CAST(n_nationkey AS INTEGER) AS src, CAST(n_regionkey + 25 AS INTEGER) AS dst FROM nation
       UNION ALL SELECT CAST(r_regionkey + 25 AS INTEGER), CAST(r_regionkey + 25 AS INTEGER), CAST((r_regionkey + 1) % 5 + 25 AS INTEGER) FROM region)"""
 CUTS_SQL = "cuts AS (SELECT l_orderkey AS line_no, list_sort(list(DISTINCT CAST(l_suppkey % 10 AS INTEGER))) AS edges FROM lineitem GROUP BY l_orderkey)"

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.order import ranked
 from ..functions.scratch import Scratch
 from ..operators.graph import make_connected
+from ..operators.small import component_map
 
-MAX_ENUMERATED = 6
+#: 2^28 masks of pairs; one node more would make 2^36.
+MAX_ENUMERATED = 8
 
 
 def _draw(text: Column) -> Column:
@@ -45,6 +48,42 @@ def random_graph(spark: SparkSession, n: int, min_edges: int, max_edges: int, se
     return rows.union(make_connected(rows, everything))
 
 
+def random_graphs(spark: SparkSession, count: int, n: int, min_edges: int, max_edges: int, seed: int = 0) -> DataFrame:
+    """(graph_id, id, src, dst): `count` small simple connected graphs on 0..n-1, each as random_graph() would have it, but by the smallest MD5 of its pairs."""
+    pairs = n * (n - 1) // 2
+    if not 1 <= min_edges <= max_edges <= pairs:
+        raise ValueError("there are not that many pairs of nodes")
+    name = lambda what: F.concat(F.lit(f"{seed}/"), F.col("graph_id").cast("string"), F.lit("/"), what)
+    graphs = spark.range(count).select(F.col("id").alias("graph_id"))
+    graphs = graphs.withColumn("wanted", min_edges + _draw(name(F.lit("edges"))) % (max_edges - min_edges + 1)).withColumn("pair", F.explode(F.sequence(F.lit(0), F.lit(pairs - 1))))
+    order = Window.partitionBy("graph_id").orderBy(F.md5(name(F.col("pair").cast("string")).cast("binary")), "pair")
+    dst = F.floor((F.sqrt(F.col("pair") * 8 + 1) + 1) / 2)
+    rows = graphs.withColumn("id", F.row_number().over(order) - 1).where("id < wanted")
+    rows = rows.select("graph_id", "id", (F.col("pair") - dst * (dst - 1) / 2).cast("int").alias("src"), dst.cast("int").alias("dst"))
+
+    def connected(pdf: pd.DataFrame) -> pd.DataFrame:
+        component = dict.fromkeys(range(n)) | dict(component_map(pdf).itertuples(index=False))
+        ends = sorted({v if c is None else c for v, c in component.items()})
+        links = [(pdf["graph_id"].iloc[0], len(pdf) + i, a, b) for i, (a, b) in enumerate(zip(ends, ends[1:]))]
+        return pd.concat([pdf, pd.DataFrame(links, columns=list(pdf.columns))]).astype("int64")
+
+    return rows.groupBy("graph_id").applyInPandas(connected, "graph_id long, id int, src int, dst int")
+
+
+def street_grid(spark: SparkSession, width: int, height: int, gone: int = 40, dead_ends: int = 15, seed: int = 0) -> DataFrame:
+    """A graph like a town's streets: a grid of crossings without about `gone` percent of its sides, dead ends at `dead_ends` percent of the crossings.
+
+    What MD5 of "seed/edge" draws stays away; parts that come loose stay, so that the graph may have several components. Ids count up along the grid.
+    """
+    name = lambda what: F.concat(F.lit(f"{seed}/{what}/"), F.col("id").cast("string"))
+    at = spark.range(width * height)
+    right = at.where((F.col("id") + 1) % width != 0).select((F.col("id") * 3).alias("id"), F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    down = at.where(F.col("id") < width * (height - 1)).select((F.col("id") * 3 + 1).alias("id"), F.col("id").alias("src"), (F.col("id") + width).alias("dst"))
+    sides = right.union(down).where(_draw(name("side")) % 100 >= gone)
+    ends = at.where(_draw(name("end")) % 100 < dead_ends).select((F.col("id") * 3 + 2).alias("id"), F.col("id").alias("src"), (F.col("id") + width * height).alias("dst"))
+    return sides.union(ends).select(*[F.col(c).cast("int").alias(c) for c in ("id", "src", "dst")])
+
+
 def all_connected_graphs(spark: SparkSession, n: int) -> DataFrame:
     """(graph_id, id, src, dst): every labelled connected graph on n nodes; graph_id is the bit mask of its pairs in column order."""
     if not 2 <= n <= MAX_ENUMERATED:

@@ -1,12 +1,26 @@
+import os
+import random
+import subprocess
+import sys
+from pathlib import Path
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cutweave import cli
 from cutweave.functions import columns as X
+from cutweave.functions.order import ranked, successor
+from cutweave.functions.scratch import Scratch, shared_folder
+from cutweave.operators import bonds as B
 from cutweave.operators import cuts as C
 from cutweave.operators import reports as R
+from cutweave.operators import small
+from cutweave.operators.bonds import bonds
+from cutweave.operators.graph import component_count
+from cutweave.operators.reference_methods import component_map
 from cutweave.plans.derived import TWO_SQUARES, graph5
-from cutweave.sources import readers, writers
+from cutweave.sources import generators, readers, writers
 from cutweave.streaming.cuts import distinct_cut_stream
 
 
@@ -57,7 +71,7 @@ def test_lookups(spark):
 
 
 def test_array_fold_refuses_large_graphs(spark, monkeypatch):
-    monkeypatch.setattr(C, "ARRAY_EDGES", 5)
+    monkeypatch.setattr(small, "LOCAL_EDGES", 5)
     with pytest.raises(ValueError):
         C.fold_check(graph5(spark), cuts(spark, ["0"]).select("edges"))
 
@@ -143,7 +157,8 @@ def test_reports(spark):
     assert [r.value for r in writers.tex_rows(pivot, pivot.columns).select("value").collect()] == [r"3 &  &  &  & 150 \\", r"4 &  &  &  & 5 \\"]
     chains = {(r.k, r.m): (r.noncan, r.can) for r in R.derivations(graph5(spark), 4, (3, 3)).collect()}
     assert chains[(3, 3)][1] == 2 and chains[(3, 4)][1] == 35 and all(a >= b for a, b in chains.values())
-    assert [r.bonds for r in R.km_grid(graph5(spark), (2, 3), (2, 2)).orderBy("m").collect()] == [7, 19]
+    cells = R.km_grid(graph5(spark), (2, 3), (2, 2)).orderBy("m").collect()
+    assert [r.bonds for r in cells] == [7, 19] and all(r.secs > 0 for r in cells)
     assert R.density_grid(spark, 4, 4, 1, 2, 2).count() == 1
 
 
@@ -161,7 +176,7 @@ def test_stream_of_cuts(spark, tmp_path):
         stream.stop()
 
 
-def test_command_line(spark, tmp_path, capsys):
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
     g = tmp_path / "g.csv"
     g.write_text("".join(f"{i};{u};{v}\n" for i, u, v in TWO_SQUARES))
     a, b = tmp_path / "a.txt", tmp_path / "b.txt"
@@ -184,6 +199,12 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "k4.g6").write_text("C~\n")
     assert call("graph6", tmp_path / "k4.g6", "--rows")[:3] == ["0;0;1", "1;0;2", "2;0;3"]
     assert call("differential", tmp_path / "k4.g6", "4", "2-3") == []
+    whole = B.two_bonds
+    monkeypatch.setattr(B, "two_bonds", lambda labels, m: whole(labels, m).where("g <> 3"))
+    wrong = call("differential", "random", "2", "2", "--count", "6", "--nodes", "5", "--edges", "4-6", "--failing", tmp_path / "failing")
+    assert wrong and all(x.startswith("3 definition ") for x in wrong)
+    assert [p.name for p in (tmp_path / "failing").glob("graph_id=*")] == ["graph_id=3"]
+    monkeypatch.undo()
     assert call("dot", g)[-1] == "}"
     assert len(call("random", "6", "7")) >= 7
     assert call("grid", g, "2-2", "2")[0].split()[3] == "7"
@@ -207,3 +228,101 @@ def test_derivations_read_every_edge(spark):
     rows = [(i, 0, 1) for i in range(2100)] + [(3000, 1, 2), (3001, 2, 3)]
     cells = {(r.k, r.m): (r.noncan, r.can) for r in R.derivations(spark.createDataFrame(rows, "id int, src int, dst int"), 3, (3, 3)).collect()}
     assert cells[(3, 3)] == (1, 1)
+
+
+def test_numbers_as_percent_g_writes_them(spark):
+    values = [0.0, 1.0, -2.5, 0.25, 100000.0, 999999.4, 999999.5, 1e6, 1234567.0, 1e-4, 0.00012345678, 9.9999996e-5, 1e-5, 3.14159265, 1e300, 12345.67, 2.0**-20]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r.t for r in df.select(X.general(F.col("v")).alias("t")).collect()] == [f"{v:g}" for v in values]
+
+
+def test_quartiles_against_numpy(spark):
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 1000):
+        ms = rng.integers(1, 200_000, n)
+        log = spark.createDataFrame([(1, int(x), 1) for x in ms], "stage int, ms long, bonds long")
+        got = R.quartile_report(log).orderBy("quartile").collect()
+        want = np.percentile(ms, [0, 25, 50, 75, 100])
+        assert np.allclose([r.low for r in got] + [got[-1].high], want) and sum(r.records for r in got) == n
+    none = R.quartile_report(spark.createDataFrame([], "stage int, ms long, bonds long"))
+    assert none.count() == 0
+
+
+def test_order_in_two_levels(spark):
+    rng = random.Random(4)
+    rows = sorted({(rng.randint(0, 2), rng.randint(-50, 50)) for _ in range(80)})
+    df = spark.createDataFrame(rows, "k int, at long").repartition(5)
+    got = {(r.k, r.at): (r["__next"], r["__first"]) for r in successor(df, ["k"], "at", width=7).collect()}
+    for k, at in rows:
+        mine = [b for a, b in rows if a == k]
+        assert got[k, at] == (min((b for b in mine if b > at), default=None), mine[0])
+    alone = df.select("at").distinct()
+    values = sorted({b for _, b in rows})
+    assert {r.at: r["__before"] for r in ranked(alone, "at", width=9).collect()} == {v: i for i, v in enumerate(values)}
+    sums = {r.at: r["__before"] for r in ranked(alone, "at", width=9, weight=F.col("at")).collect()}
+    assert sums == {v: sum(values[:i]) for i, v in enumerate(values)}
+
+
+def test_checks_by_definition(spark):
+    rng = random.Random(5)
+    for n in range(60):
+        nodes = rng.randint(2, 7)
+        edges = [(3 * i, rng.randrange(nodes), rng.randrange(nodes)) for i in range(rng.randint(1, 12))]
+        checker = small.CutChecker(*(np.array(c) for c in zip(*edges, strict=True)))
+        everything = {v for _, u, w in edges for v in (u, w)}
+        for _ in range(20):
+            cut = rng.sample([e for e, _, _ in edges], rng.randint(0, min(5, len(edges))))
+            part = component_map(edges, everything, frozenset(cut))
+            assert checker.check(cut + [1000]) == (len(set(part.values())), all(part[u] != part[v] for e, u, v in edges if e in cut)), (n, edges, cut)
+
+
+def test_graphs_beyond_two_thousand_edges(spark):
+    town = generators.street_grid(spark, 40, 40, seed=1)
+    n = town.count()
+    assert n > 2000
+    base = component_count(town).first()[0]
+    ones = {tuple(r.edges) for r in bonds(town, 1, base + 1, "brute").collect()}
+    assert ones == {tuple(r.edges) for r in bonds(town, 1, base + 1).collect()} and len(ones) > 200
+    found = bonds(town, 3, base + 1)
+    assert found.count() == bonds(town, 3, base + 1, exact=True).count() > len(ones)
+
+
+def test_random_graph_sources(spark):
+    for n, low, high in ((9, 30, 36), (9, 36, 36), (12, 0, 0), (30, 100, 120), (2, 1, 1)):
+        rows = generators.random_graph(spark, n, low, high, seed=5, connected=False).collect()
+        assert low <= len(rows) <= high and len({(r.src, r.dst) for r in rows}) == len(rows)
+        assert all(0 <= r.src < r.dst < n for r in rows) and sorted(r.id for r in rows) == list(range(len(rows)))
+    graphs = generators.random_graphs(spark, 10, 7, 3, 9, seed=2)
+    for g, rows in graphs.toPandas().groupby("graph_id"):
+        edges = list(zip(rows["id"], rows["src"], rows["dst"], strict=True))
+        assert len(set(component_map(edges, set(range(7)), frozenset()).values())) == 1 and len(set(rows["id"])) == len(rows), g
+    assert graphs.select("graph_id").distinct().count() == 10
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    class Conf(dict):
+        def set(self, k, v):
+            self[k] = v
+
+    class Session:
+        conf = Conf({"spark.master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
+    Session.conf["spark.master"] = "local[4]"
+    assert shared_folder(Session()) == Session.conf["spark.checkpoint.dir"]
+    Session.conf = Conf({"spark.master": "spark://host:7077", "spark.checkpoint.dir": "hdfs://x/y/"})
+    assert shared_folder(Session()) == "hdfs://x/y"
+
+
+def test_scratch_tables_go(spark):
+    scratch = Scratch(spark)
+    kept = scratch.write(spark.range(3))
+    assert os.path.isdir(kept.scratch_path)
+    scratch.drop(kept)
+    assert not os.path.isdir(kept.scratch_path)
+
+
+def test_entry_without_the_training_data_queries():
+    code = "import sys; sys.modules['cutweave.llm.queries'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 60 and not any(x.startswith('op') for x in q); e.oracle_sql()"
+    subprocess.run([sys.executable, "-W", "ignore", "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent)

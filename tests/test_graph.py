@@ -104,6 +104,38 @@ def test_labels_tell_cuts(spark, either_path):
         assert (total == 0) == cut
 
 
+def test_labels_do_not_depend_on_the_path(spark, monkeypatch):
+    edges = edges_of(8, 20, 30) + [(90, 2, 2), (91, 40, 41)]
+    one = {r.id: r.label for r in G.cycle_labels(frame(spark, edges), seed=1).collect()}
+    monkeypatch.setattr(small, "LOCAL_EDGES", 0)
+    assert {r.id: r.label for r in G.cycle_labels(frame(spark, edges), seed=1).collect()} == one
+
+
+def test_blocks_hold_the_minimal_cuts():
+    """Two edges are in one block iff a cycle without repeated nodes has both: iff no node separates them."""
+    rng = random.Random(11)
+    for _ in range(80):
+        edges = [(i, rng.randrange(7), rng.randrange(7)) for i in range(rng.randint(1, 11))]
+        block = dict(zip(*(lambda f: (f.ids, f.blocks()))(small.Forest(*zip(*edges, strict=True))), strict=True))
+        plain = [(e, u, v) for e, u, v in edges if u != v]
+        same = {(a, b) for a, *_ in plain for b, *_ in plain if block[a] == block[b]}
+        want = {(e, e) for e, *_ in plain}
+        for mask in range(1 << len(plain)):  # cycles: connected sets in which every node has degree two
+            chosen = [x for i, x in enumerate(plain) if mask >> i & 1]
+            nodes = [n for _, u, v in chosen for n in (u, v)]
+            if chosen and all(nodes.count(n) == 2 for n in nodes) and len(set(plain_components(chosen, set(nodes)).values())) == 1:
+                want |= {(a, b) for a, *_ in chosen for b, *_ in chosen}
+        assert same == transitive(want)
+
+
+def transitive(pairs):
+    while True:
+        more = {(a, d) for a, b in pairs for c, d in pairs if b == c} - pairs
+        if not more:
+            return pairs
+        pairs = pairs | more
+
+
 def test_checks_against_traversal(spark):
     rng = random.Random(6)
     edges = edges_of(7, 8, 11)
