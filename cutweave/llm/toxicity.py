@@ -9,11 +9,18 @@ nearly all explained by much heavier terms (words that copies of a toxic text ha
 A text's raw score is log1p(100 * sum of the weights of its matches / (words + SMOOTH)); isotonic regression on the training rows
 turns it into a probability, interpolated between the levels found.
 
-Training reads at most `max_train` labelled rows, those with the smallest hashes of their ids (a documented bound); near copies
-among them (of one class, with the same smallest hash of five words, and at least NEAR_COPY percent of their five-word shingles shared) count
-once; texts without words are copies of each other. Everything else covers every row. Nulls: a null text is an empty text, which gets the score of a text without
+Words, for the length, are runs of anything but ASCII white space in the folded text.
+
+Training reads at most `max_train` labelled rows, those with the smallest hashes of their ids (a documented bound; ties by id); near copies
+among them (of one class, with the same smallest hash of a five-word shingle, and at least NEAR_COPY percent of their five-word shingles shared) count
+once; texts without words are copies of each other. Terms are counted in Spark; the driver sees those with MIN_SUPPORT texts at least and, as a
+model parameter, no more than the MAX_COUNTED most frequent ones. The lexicon (MAX_TERMS terms) is broadcast. Everything else covers every row.
+
+Nulls: a null text is an empty text, which gets the score of a text without
 matches; rows with a null id are scored, never trained on, and are not held out; labels without id or label are ignored; a
-document with several labels is toxic if any says so. Without usable labels every score is 0. Extra columns are ignored.
+document with several labels is toxic if any says so. Texts of any length are folded and matched whole, in time linear in their length. Equal
+texts get equal scores; repeated rows are scored each. Without usable labels every score is 0; an empty table gives an empty result.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,20 +39,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, chunks, id_bucket, small_batches, table, text_bytes
+from .common import WORD, Scratch, chunks, id_bucket, small_batches, table, text_bytes
 from .neardup import shingle_sets
 
 # Characters that look like Latin letters, and digits and signs written for letters.
 HOMOGLYPHS = {
     "а": "a", "в": "b", "е": "e", "ё": "e", "з": "3", "и": "u", "і": "i", "ї": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p",
-    "с": "c", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ԁ": "d", "ԛ": "q", "ԝ": "w", "һ": "h", "ӏ": "l", "α": "a", "β": "b", "γ": "y", "ε": "e",
-    "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ı": "i", "ɑ": "a", "ɡ": "g", "ʟ": "l", "ɴ": "n",
+    "с": "c", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ԁ": "d", "ԛ": "q", "ԝ": "w", "һ": "h", "ӏ": "i", "α": "a", "β": "b", "γ": "y", "ε": "e",
+    "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ı": "i", "ɑ": "a", "ɡ": "g", "ʟ": "i", "ɴ": "n",
 }
 LETTER_FOR_SIGN = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i"}
 
 SMOOTH = 30.0
 STEM = range(4, 11)
-MIN_SUPPORT, MIN_PRECISION, MAX_TERMS, BINS = 6, 0.8, 5000, 400
+MIN_SUPPORT, MIN_PRECISION, MAX_TERMS, MAX_COUNTED, BINS = 6, 0.8, 5000, 200_000, 400
 NEAR_COPY = 80  # percent of shared five-word shingles
 
 _GLYPHS = str.maketrans({**HOMOGLYPHS, **{c: None for c in "​‌‍⁠﻿­"}, "l": "i"})
@@ -53,6 +60,7 @@ _SIGNS = str.maketrans(LETTER_FOR_SIGN)
 _HAS_SIGN = re.compile(r"[0-9@$!|]")
 _MIXED = re.compile(r"(?<![^\W_])[^\W_0-9]*+[@$!|0-9](?:[^\W_]|[@$!|])*+")  # tried at word beginnings only: linear
 _WORD = re.compile(r"[^\W_]+")
+_SPACED = re.compile(WORD)
 
 
 def _letters(match: re.Match) -> str:
@@ -112,7 +120,7 @@ def matches(folded: str, automaton: ahocorasick.Automaton | None) -> list[tuple[
 
 def raw_score(folded: str, automaton: ahocorasick.Automaton | None) -> tuple[float, int]:
     found = matches(folded, automaton)
-    return (math.log1p(100 * sum(w for _, _, w in found) / (folded.count(" ") + 1 + SMOOTH)), len(found)) if found else (0.0, 0)
+    return (math.log1p(100 * sum(w for _, _, w in found) / (len(_SPACED.findall(folded)) + SMOOTH)), len(found)) if found else (0.0, 0)
 
 
 def _terms(folded: str) -> set[str]:
@@ -176,6 +184,18 @@ def _counted(rows: DataFrame, per_text) -> DataFrame:
     return rows.mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def _frequent(counts: DataFrame, least: int) -> dict[str, int]:
+    """The terms that `least` texts have; where these are more than MAX_COUNTED, the bound rises until they are not."""
+    sizes = counts.where(F.col("n") >= least).groupBy("n").agg(F.count("*").alias("terms")).collect()  # a row per count, max_train at most
+    total = 0
+    for r in sorted(sizes, key=lambda r: -r.n):
+        total += r.terms
+        if total > MAX_COUNTED:
+            least = r.n + 1
+            break
+    return {r.term: r.n for r in counts.where(F.col("n") >= least).collect()}
+
+
 def _chosen(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, tuple[float, bool]]:
     """Terms by weight; a term goes if a stem that begins it is about as good."""
     weight = {}
@@ -243,16 +263,19 @@ def learn(
         return Lexicon()
     support = MIN_SUPPORT if n_toxic >= 100 else 2
     toxic_rows, clean_rows = rows.where("toxic <> 0"), rows.where("toxic = 0")
-    # the number of terms is bounded by the words of at most max_train texts; common ones are cut by a first look at their share
-    toxic = {r.term: r.n for r in _counted(toxic_rows, _terms).where((F.col("n") >= support)).collect()}
-    clean = {r.term: r.n for r in _counted(clean_rows, lambda t, keep=frozenset(toxic): _terms(t) & keep).collect()}
+    shared = spark.sparkContext.broadcast
+    counted = lambda rows, per_text: scratch.write(_counted(rows, per_text))
+    toxic = _frequent(counted(toxic_rows, _terms), support)
+    keep = shared(frozenset(toxic))
+    clean = {r.term: r.n for r in _counted(clean_rows, lambda t: _terms(t) & keep.value).collect()}
     model = Lexicon(_chosen(toxic, clean, n_toxic, n_clean), {fold(x) for x in exceptions})
 
     if model.weights:
+        heavy = shared(Lexicon(dict(model.weights)))
 
-        def unexplained(folded: str, own: list = [], terms=dict(model.weights)) -> set[str]:  # noqa: B006  one automaton per worker
+        def unexplained(folded: str, own: list = []) -> set[str]:  # noqa: B006  one automaton per worker
             if not own:
-                own.append(Lexicon(terms).automaton())
+                own.append(heavy.value.automaton())
             found = {folded[s:e]: w for s, e, w in matches(folded, own[0])}
             return {t for t, w in found.items() if w >= max(found.values()) - 1}
 
@@ -260,27 +283,31 @@ def learn(
         in_all = lambda term, stem: toxic.get(f"{term}*" if stem else term, 0)
         model.weights = {t: v for t, v in model.weights.items() if alone.get(t, 0) >= max(2, 0.1 * in_all(t, v[1]))}
 
-    def phrases(folded: str, own: list = [], terms=dict(model.weights)) -> set[str]:  # noqa: B006  one automaton per worker
-        if not own:
-            own.append(Lexicon(terms).automaton())
-        found = set()
-        for start, end, _ in matches(folded, own[0]):
-            after, before = re.compile(r"\w*\W+\w+").match(folded, end), re.search(r"\w+\W+$", folded[max(0, start - 60) : start])
-            stop = re.compile(r"\w*").match(folded, end).end()
-            if after:
-                found.add(folded[start : after.end()])
-            if before:
-                found.add(before[0] + folded[start:stop])
-        return found
-
     if model.weights:
-        among_clean = {r.term: r.n for r in _counted(clean_rows, phrases).where(F.col("n") >= 3).collect()}
-        if among_clean:
-            among_toxic = {r.term for r in _counted(toxic_rows, lambda t, keep=frozenset(among_clean): phrases(t) & keep).collect()}
-            model.exceptions |= set(among_clean) - among_toxic
+        lexicon = shared(Lexicon(dict(model.weights)))
+
+        def phrases(folded: str, own: list = []) -> set[str]:  # noqa: B006  one automaton per worker
+            if not own:
+                own.append(lexicon.value.automaton())
+            found = set()
+            for start, end, _ in matches(folded, own[0]):
+                after, before = re.compile(r"\w*\W+\w+").match(folded, end), re.search(r"\w+\W+$", folded[max(0, start - 60) : start])
+                stop = re.compile(r"\w*").match(folded, end).end()
+                if after:
+                    found.add(folded[start : after.end()])
+                if before:
+                    found.add(before[0] + folded[start:stop])
+            return found
+
+        among_clean = shared(frozenset(_frequent(counted(clean_rows, phrases), 3)))
+        if among_clean.value:
+            among_toxic = {r.term for r in _counted(toxic_rows, lambda t: phrases(t) & among_clean.value).collect()}
+            model.exceptions |= among_clean.value - among_toxic
+
+    known = shared(model)
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = model.automaton()
+        automaton = known.value.automaton()
         for batch in batches:
             raw = [min(BINS, round(raw_score(fold(t), automaton)[0] * 40)) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(raw, pa.int32()), batch["toxic"]], ["bin", "toxic"])
@@ -293,14 +320,16 @@ def learn(
 
 def score(docs: DataFrame, model: Lexicon, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """Per row: id, `carry` as a struct `kept`, toxicity, is_toxic, n_hits."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(model)  # MAX_TERMS terms, their exceptions and knots
     kept = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *([F.struct(*[F.col(c) for c in carry]).alias("_kept")] if carry else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = model.automaton()
+        automaton = shared.value.automaton()
         for batch in batches:
             raws = [raw_score(fold(t), automaton) if t else (0.0, 0) for t in batch["_text"].to_pylist()]
-            p = model.probability([r for r, _ in raws])
+            p = shared.value.probability([r for r, _ in raws])
             columns = [*batch.columns, pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32)), pa.array([n for _, n in raws], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_score", "_predicted", "_hits"])
 

@@ -1,5 +1,8 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -12,7 +15,7 @@ BAD = ["wretched", "vermin", "drivel", "imbecile"]
 
 @pytest.mark.parametrize(
     ("text", "folded"),
-    [("1D10T", "idiot"), ("ｓｃｕｍ", "scum"), ("ѕсum", "scum"), ("c1own clown", "ciown ciown"), ("tr@sh! 2024", "trash! 2024"), ("", ""), ("so​ft", "soft"), ("5", "5")],
+    [("1D10T", "idiot"), ("ｓｃｕｍ", "scum"), ("ѕсum", "scum"), ("c1own clown", "ciown ciown"), ("tr@sh! 2024", "trash! 2024"), ("", ""), ("so​ft", "soft"), ("5", "5"), ("scuӏӏ", "scuii"), ("scuʟʟ", "scuii"), ("scull", "scuii"), ("scu11", "scuii"), ("Ⅼ", "i")],
 )
 def test_fold(text, folded):
     assert fold(text) == folded
@@ -36,6 +39,33 @@ def test_matches_against_plain_search():
         assert sorted(matches(text, automaton)) == want
 
 
+def plain_score(text, model):
+    """The documented score without an automaton: every term tried at every place."""
+    folded = fold(text or "")
+    inside = lambda i: 0 <= i < len(folded) and folded[i].isalnum()
+    quiet = [(i, i + len(p)) for p in model.exceptions for i in range(len(folded)) if folded.startswith(p, i) and not inside(i - 1) and not inside(i + len(p))]
+    total = 0.0
+    for i in range(len(folded)):
+        if i and inside(i - 1):
+            continue
+        fits = [(w, i + len(t)) for t, (w, stem) in model.weights.items() if folded.startswith(t, i) and (stem or not inside(i + len(t)))]
+        if fits:
+            weight = max(w for w, _ in fits)
+            end = max(e for w, e in fits if w == weight)
+            total += 0 if any(a <= i and end <= b for a, b in quiet) else weight
+    raw = math.log1p(100 * total / (len(re.findall(r"[^ \t-\r]+", folded)) + toxicity.SMOOTH)) if total else 0.0
+    x, y = zip(*model.knots, strict=True)
+    k = next((k for k in range(len(x)) if x[k] >= raw), None)
+    return y[-1] if k is None else y[0] if k == 0 else y[k - 1] + (y[k] - y[k - 1]) * (raw - x[k - 1]) / (x[k] - x[k - 1])
+
+
+def test_line_breaks_are_blanks():
+    model = Lexicon({"vermin": (3.0, False)}, set(), [(0.0, 0.0), (10.0, 1.0)])
+    text = " ".join(["vermin"] + ["word"] * 99)
+    scores = {toxicity.raw_score(fold(t), model.automaton())[0] for t in (text, text.replace(" ", "\n"), text.replace(" ", "  \t"))}
+    assert scores == {math.log1p(300 / 130)}
+
+
 @pytest.fixture(scope="module")
 def corpus():
     rng = random.Random(2)
@@ -63,6 +93,7 @@ def test_held_out_accuracy_and_cases(spark, corpus):
     assert {t for t, (_, _) in model.weights.items()} >= {fold(b) for b in BAD[:2]}
     got = score(df, model, carry=["text", "_score"]).collect()
     assert len(got) == len(docs) + len(odd)
+    assert all(abs(r.toxicity - plain_score(r.kept.text, model)) < 1e-9 for r in got)
     by_id = {r.doc_id: r for r in got}
     assert all(0 <= r.toxicity <= 1 and r.is_toxic == int(r.toxicity >= 0.5) for r in got)
     held = [i for i, *_ in docs if zlib.crc32(str(i).encode()) % 5 == 0]
@@ -90,6 +121,19 @@ def test_terms_explained_by_heavier_ones_go(spark):
     assert toxicity.MAX_TERMS >= len(model.weights)
 
 
+def test_terms_are_counted_as_in_plain_python(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(f"t{min(rng.randint(0, 60), rng.randint(0, 60))}" for _ in range(12)) for _ in range(300)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    want = Counter(x for t in texts for x in toxicity._terms(fold(t)))
+    got = toxicity._counted(rows, toxicity._terms)
+    assert {r.term: r.n for r in got.collect()} == want
+    assert toxicity._frequent(got, 6) == {t: n for t, n in want.items() if n >= 6}
+    monkeypatch.setattr(toxicity, "MAX_COUNTED", 20)
+    few = toxicity._frequent(got, 6)
+    assert 0 < len(few) <= 20 and min(few.values()) > max(n for t, n in want.items() if t not in few) and set(few.items()) <= set(want.items())
+
+
 def test_only_near_copies_count_once(spark):
     rng = random.Random(6)
     distinct = [(i, " ".join(["the", f"w{i}", "the"] + [f"x{rng.randint(0, 10**6)}" for _ in range(i % 30)])) for i in range(120)]  # a word repeats at distance two
