@@ -3,8 +3,9 @@
 STAGES lists the stages; each takes (spark, docs, sf_dir), where docs is what the stage before kept, and returns the columns of
 docs, the last one the encoded rows. run() applies them in order and writes every result to the cluster's shared folder.
 
-Rows with a null id pass the filters on their own merits and link with nothing; null texts count as empty; rows that share an id are one
-document to the near-duplicate stage, of which the smallest text stays. Extra columns are carried through.
+Null texts count as empty. Rows that share an id but not their text, and rows without id, are documents of their own; repeated rows (equal id
+and text) are one, of which the smallest row by its columns stays (ties: equal rows, any). Texts of any length are handled whole. An empty
+table gives an empty result. Extra columns are carried through, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,12 +28,31 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score(docs, model, carry=docs.columns).where("is_toxic = 0").select("kept.*")
 
 
+#: Documents that ids do not tell apart are numbered from here on, so that of a group a document with an id of its own stays.
+UNNAMED = 1 << 62
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates: five-word shingles, a similarity of 0.8 or more."""
-    ids = near_duplicates(docs, percent=80).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy(*[c for c, kind in docs.dtypes if c != "doc_id" and not kind.startswith("map")])
-    kept = docs.join(ids, "doc_id", "left_semi").select("*", F.row_number().over(one).alias("__nth")).where("__nth = 1").select(docs.columns)
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    """One document of each group of near duplicates, that with the smallest id: five-word shingles, a similarity of 0.8 or more."""
+    scratch = Scratch(spark)
+    narrow = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).groupBy("doc_id", "h").agg(F.count("*").alias("n"))
+    per_id = narrow.groupBy("doc_id").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).where("n > 1 OR doc_id IS NULL")
+    repeated = scratch.write(per_id.select(F.col("doc_id").cast("long").alias("shared_id"), "texts"))
+    if repeated.isEmpty():  # every id names a document
+        kept = near_duplicates(docs, percent=80).where("kept").select("doc_id")
+        return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    body = F.struct(*[F.col(c) for c in docs.columns])
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"), body.alias("body"))
+    text = F.coalesce("text", F.lit(""))
+    number = F.lit(UNNAMED) + F.shiftrightunsigned(F.xxhash64(F.col("id"), text, F.lit("text")), 2)
+    clash = repeated.where("shared_id IS NOT NULL AND texts > 1").select("shared_id")
+    rows = rows.join(clash, F.col("id") == F.col("shared_id"), "left")
+    rows = scratch.write(rows.select(F.when(F.col("id").isNotNull() & F.col("shared_id").isNull(), F.col("id")).otherwise(number).alias("doc_id"), "text", "body"))
+    kept = near_duplicates(rows, percent=80).where("kept").select("doc_id").distinct()
+    plain = [f"body.`{c}`" for c, kind in docs.dtypes if not kind.startswith("map")]
+    one = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in plain])
+    rows = rows.join(kept, "doc_id", "left_semi").withColumn("nth", F.row_number().over(one)).where("nth = 1")
+    return rows.select("body.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -82,6 +82,17 @@ def test_stages_keep_the_columns(spark, folder):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "mixing", "sentencepiece"]
 
 
+def test_ids_that_several_documents_share(spark):
+    """Texts of one id are documents of their own, also without an id; equal rows are one."""
+    rng = random.Random(9)
+    text = [" ".join(f"w{rng.randint(0, 9999)}" for _ in range(20)) for _ in range(6)]
+    near = text[0] + " more"
+    rows = [(5, text[0]), (5, text[1]), (5, text[1]), (4, near), (6, text[2]), (6, text[2]), (7, text[3]), (8, text[3]), (None, text[4]), (None, text[4]), (None, text[5]), (9, text[5]), (10, None), (10, None), (11, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, True, 1) for i, t in rows], DOCS)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()), key=str)
+    assert got == sorted([(4, near), (5, text[1]), (6, text[2]), (7, text[3]), (None, text[4]), (9, text[5]), (10, None), (11, "")], key=str)
+
+
 def test_empty_tables(spark, folder, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
