@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 
 from ..functions.columns import as_bag, as_set, gf2_rank, has_coloop
 from ..functions.order import ranked
+from ..functions.scratch import Scratch
 from . import small
-from .graph import components, cycle_labels, is_small
+from .graph import is_small, labelled
 
 def cut_uniq(cuts: DataFrame) -> DataFrame:
     """Distinct cuts as sorted bags (repeated ids inside a cut stay, empty cuts go): edges, size. Present by (size, edges)."""
@@ -45,13 +46,12 @@ def combinations(edges: DataFrame, size: int) -> DataFrame:
     return out
 
 
-def _ranked(edges: DataFrame, cuts: DataFrame, seed: int) -> DataFrame:
+def _ranked(labels: DataFrame, cuts: DataFrame) -> DataFrame:
     """Cuts with the labels of their (distinct) ids and their unknown ids; a cut is its line_no and edges."""
-    labels = cycle_labels(edges, seed).select("id", "label")
     keyed = cuts.select("line_no", "edges")
     members = keyed.select("line_no", "edges", F.explode_outer(F.array_distinct("edges")).alias("id")).distinct()
     # a row per distinct cut first, so that equal lines are worked out once
-    found = members.join(labels, "id", "left").groupBy("line_no", "edges").agg(
+    found = members.join(labels.select("id", "label"), "id", "left").groupBy("line_no", "edges").agg(
         F.collect_list("label").alias("labels"), F.collect_list(F.when(F.col("id").isNotNull() & F.col("label").isNull(), F.col("id"))).alias("unknown_ids")
     )
     return found.withColumn("nullity", F.size("labels") - gf2_rank(F.col("labels")))
@@ -63,8 +63,9 @@ def check_cuts(edges: DataFrame, cuts: DataFrame, seed: int = 0) -> DataFrame:
     Needs no traversal per cut: with labels of GF(2) rank r, removing C leaves components(G) + |C| - r components, and C is minimal if no
     label lies outside all dependencies. The empty cut of a disconnected graph is minimal.
     """
-    base = components(edges).agg(F.count_distinct("component").alias("base"))
-    found = _ranked(edges, cuts, seed).crossJoin(F.broadcast(base)).withColumn("n_components", (F.col("base") + F.col("nullity")).cast("int"))
+    labels = Scratch(edges.sparkSession).write(labelled(edges, seed).select("id", "label", "base"))
+    base = labels.agg(F.coalesce(F.max("base"), F.lit(0)).alias("base"))
+    found = _ranked(labels, cuts).crossJoin(F.broadcast(base)).withColumn("n_components", (F.col("base") + F.col("nullity")).cast("int"))
     status = (
         F.when(F.size("unknown_ids") > 0, "unknown_edge").when(F.col("n_components") == 1, "false_not_cut").when(has_coloop(F.col("labels")), "false_not_minimal").otherwise("true")
     )

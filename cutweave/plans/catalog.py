@@ -522,6 +522,33 @@ def noncanonicity_geo(spark, sf):
     return R.derivations(D.g_geo(spark, sf), 3, (3, 4))
 
 
+# two random graphs on six nodes, a seed each, and their 2-bonds of at most two edges by the definition
+_DENSITY = f"""cell AS (SELECT e * 1009 + t AS s, e, t FROM range(6, 8) a(e), range(1, 2) b(t)),
+d AS (SELECT s, e, min(i) AS nth, {_DRAW.format("s || '/' || i")} % 15 AS pair FROM cell, range(0, 300) u(i) GROUP BY ALL),
+r AS (SELECT s, pair, row_number() OVER (PARTITION BY s ORDER BY nth) - 1 AS id FROM d QUALIFY id < e),
+g0 AS (SELECT s, id, pair - x.j * (x.j - 1) // 2 AS src, x.j AS dst FROM r JOIN range(1, 6) x(j) ON pair >= x.j * (x.j - 1) // 2 AND pair < x.j * (x.j + 1) // 2),
+st AS (SELECT s, src AS a, dst AS b FROM g0 UNION ALL SELECT s, dst, src FROM g0),
+re AS (SELECT s, n AS a, n AS b FROM cell, range(0, 6) u(n) UNION SELECT re.s, re.a, st.b FROM re JOIN st ON st.s = re.s AND st.a = re.b),
+c AS (SELECT DISTINCT s, min(b) OVER (PARTITION BY s, a) AS c FROM re),
+o AS (SELECT s, c, lead(c) OVER (PARTITION BY s ORDER BY c) AS f, row_number() OVER (PARTITION BY s ORDER BY c) AS nth FROM c),
+top AS (SELECT s, max(id) AS top FROM g0 GROUP BY s),
+g AS (SELECT * FROM g0 UNION ALL SELECT o.s, top + nth, c, f FROM o JOIN top ON top.s = o.s WHERE f IS NOT NULL),
+cand AS (SELECT s, id AS ca, id AS cb FROM g UNION ALL SELECT x.s, x.id, y.id FROM g x JOIN g y ON x.s = y.s AND x.id < y.id),
+al AS (SELECT cand.s, ca, cb, src AS u, dst AS v FROM cand JOIN g ON g.s = cand.s AND g.id <> ca AND g.id <> cb),
+sy AS (SELECT * FROM al UNION ALL SELECT s, ca, cb, v, u FROM al),
+rr AS (SELECT s, ca, cb, n AS x, n AS y FROM cand, range(0, 6) u(n) UNION SELECT rr.s, rr.ca, rr.cb, rr.x, sy.v FROM rr JOIN sy ON sy.s = rr.s AND sy.ca = rr.ca AND sy.cb = rr.cb AND sy.u = rr.y),
+co AS (SELECT s, ca, cb, x, min(y) AS c FROM rr GROUP BY ALL),
+ks AS (SELECT s, ca, cb, count(DISTINCT c) AS k FROM co GROUP BY ALL),
+bad AS (SELECT DISTINCT p.s, p.ca, p.cb FROM g JOIN co p ON p.s = g.s AND p.x = g.src JOIN co q ON q.s = p.s AND q.ca = p.ca AND q.cb = p.cb AND q.x = g.dst WHERE g.id IN (p.ca, p.cb) AND p.c = q.c),
+ok AS (SELECT ks.s FROM ks ANTI JOIN bad ON bad.s = ks.s AND bad.ca = ks.ca AND bad.cb = ks.cb WHERE k = 2)"""
+
+
+@query(f"WITH RECURSIVE {_DENSITY} SELECT CAST(e AS INTEGER) AS n_edges, CAST(t AS INTEGER) AS trial, (SELECT count(*) FROM ok WHERE ok.s = cell.s) AS bonds FROM cell")
+def density_counts(spark, sf):
+    """Bonds of random graphs of growing density; their run times are measured too, but differ from run to run."""
+    return R.density_grid(spark, 6, 7, 1, 2, 2).drop("ms")
+
+
 # reports ------------------------------------------------------------------------------------------------------------------
 
 GRID_LINES = ["# k m noncan can", "3 3 150 120", "", "3 4 77 70", "4 4 9 9"]
