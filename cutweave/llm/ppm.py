@@ -6,44 +6,47 @@ coded (estimate C: as often as the context has different symbols, plus what prun
 without the symbols that the longer one excluded; after the empty context all remaining of 256 symbols are equally likely. The
 score is the sum of log10 probabilities, a pretrained code length.
 
-The trie grows with the input and is never held in one place. Each input split reports its distinct grams (ORDER bytes and the symbol) and
-how often its training texts have them, dealt into SUFFIXES parts by the last two bytes of the context. All contexts of two bytes and more that a
+The trie grows with the input and is never held in one place. Documents form blocks by file and place in the file (of BLOCK_BYTES on average),
+whatever splits a scan is cut into. Each block reports its distinct grams (ORDER bytes and the symbol) and how often its training texts have them, dealt into SUFFIXES parts by the last two bytes of the context. All contexts of two bytes and more that a
 gram needs end in the same two bytes, so a part has all of them; orders 0 and 1 have at most 256 and 65,536 entries and are broadcast. A task adds
-up the grams of a part, builds the part's trie, and sends every split the answers to its grams, where they meet the documents. Nothing is pruned
+up the grams of a part, builds the part's trie, and sends every block the answers to its grams, where they meet the documents. Nothing is pruned
 unless `max_entries` is given: then an entry is kept if its count is at least 1 / max_entries of all training symbols.
 
 All escapes of a chain of contexts are known beforehand, so a position costs one of three forms: the entry in the longest context;
-or an entry further up plus sums stored with two contexts of the chain; or the uniform rest. Equal positions of a split are scored
+or an entry further up plus sums stored with two contexts of the chain; or the uniform rest. Equal positions of a block are scored
 once.
 
-Baseline. Words need counts over the corpus, whose vocabulary has no bound and is never broadcast: each input split reports its distinct
-words, a window adds them up by word, and the counts come back to their split, where documents and words meet. Frames that are not a
-plain scan of files, whose splits would differ from run to run, are written to the shared folder first.
+Baseline. Words need counts over the corpus, whose vocabulary has no bound and is never broadcast: each block reports the 64-bit hashes of
+its distinct words (the end is the empty word) with their counts, dealt into parts by hash; a task adds up a part and sends every block the
+counts of its words. Words are told apart by their hashes alone.
+
+Frames that are not a plain scan of Parquet files, in which rows have no lasting place, are written to the shared folder first.
 
 Training uses rows whose crc32(id as text) mod 5 is not `held_out`; rows with a null id are scored, not learned from, and not held
-out. A null text is empty: one end token. Repeated rows count each. Without training rows the base score is 0 per token and the model
-uniform. Extra columns are ignored.
+out. A null text is empty: one end token. Texts of any length are scored whole, with some 60 bytes of
+memory for each of their bytes. Repeated rows count each, equal texts score
+equally. Without training rows the base score is 0 per token and the model uniform. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, chunks, id_bucket, mix64, small_batches, text_bytes
+from .common import LOWER, Scratch, chunks, id_bucket, mix64, small_batches, text_bytes, word_hashes, word_spans
 
 ORDER = 5
-#: Parts of the trie, by the last two bytes of contexts; grams of one part of one split that are one row.
+#: Parts of the trie, by the last two bytes of contexts, and of the words; keys of one part of one block that are one row.
 SUFFIXES, BLOB = 256, 4096
+#: Text of a block of documents, on average over the table.
+BLOCK_BYTES = 1 << 26
 PAD, END = 0xFE, 0xFF  # bytes that UTF-8 never has
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOG = np.log10
 
 
@@ -73,23 +76,42 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return distinct, np.bincount(code, weights=counts, minlength=len(distinct)).astype(np.int64)
 
 
-def _grams(rows: DataFrame) -> DataFrame:
-    """(block, part, gram, n): the distinct grams of each input split by parts of the trie, n as often as training texts have them, as bytes of int64.
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word of texts, in lower case, and n + 1 offsets into them; the end of a text, hash 0, is not among them."""
+    data = LOWER[data]
+    starts, ends, before = word_spans(data, offsets)
+    return (word_hashes(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)).view(np.int64), before
+
+
+def _distinct(key: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    code, distinct = pd.factorize(key)
+    return distinct, np.bincount(code, weights=train, minlength=len(distinct)).astype(np.int64)
+
+
+def _reported(rows: DataFrame) -> DataFrame:
+    """(kind, block, part, key, n): the distinct grams (kind 0) and words (kind 1) of each block by parts, n as often as training texts have them, as bytes of int64.
 
-    A split of very many grams may report a gram more than once.
+    A block of very many, or one that a split cuts, may report a key more than once.
     """
 
-    def packed(block: int, grams_of: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        part = (mix64((grams_of >> 8 & 0xFFFF).astype(np.uint64)) % np.uint64(SUFFIXES)).astype(np.int64)
+    def packed(kind: int, block: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        suffix = (keys if kind else keys >> 8 & 0xFFFF).astype(np.uint64)
+        part = (mix64(suffix) % np.uint64(SUFFIXES)).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        part, key, n = part[order], grams_of[order], n[order]
+        part, keys, n = part[order], keys[order], n[order]
         edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]).tolist()
         cuts = [(x, min(x + BLOB, b)) for a, b in zip(edges[:-1], edges[1:], strict=True) for x in range(a, b, BLOB)]
-        columns = [pa.array([block] * len(cuts), pa.int32()), pa.array([int(part[a]) for a, _ in cuts], pa.int32())]
-        yield pa.RecordBatch.from_arrays([*columns, *[pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (key, n)]], ["block", "part", "gram", "n"])
+        columns = [pa.array([kind] * len(cuts), pa.int32()), pa.array([block] * len(cuts), pa.int64()), pa.array([int(part[a]) for a, _ in cuts], pa.int32())]
+        yield pa.RecordBatch.from_arrays([*columns, *[pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (keys, n)]], ["kind", "block", "part", "key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, parts, held = None, [], 0
+        block, parts, held = None, ([], []), [0, 0]
+
+        def close() -> Iterator[pa.RecordBatch]:
+            for kind in (0, 1):
+                if parts[kind]:
+                    yield from packed(kind, block, *_merged(parts[kind]))
+
         for batch in batches:
             blocks, train = batch["block"].to_numpy(), np.array(batch["train"].to_pylist(), float)
             data, offsets = text_bytes(batch["text"])
@@ -98,30 +120,31 @@ def _grams(rows: DataFrame) -> DataFrame:
                 if first == last:
                     continue
                 if blocks[first] != block:
-                    if parts:
-                        yield from packed(block, *_merged(parts))
-                    block, parts, held = int(blocks[first]), [], 0
+                    yield from close()
+                    block, parts, held = int(blocks[first]), ([], []), [0, 0]
                 inner = offsets[first : last + 1]
                 for lo, hi in chunks(inner):
-                    gram, at = grams(data[inner[lo] : inner[hi]], inner[lo : hi + 1] - inner[lo])
-                    code, distinct = pd.factorize(gram)
-                    n = np.bincount(code, weights=np.repeat(train[first + lo : first + hi], np.diff(at)), minlength=len(distinct))
-                    parts.append((distinct, n.astype(np.int64)))
-                    held += len(distinct)
-                    if held > 1_500_000:
-                        parts = [_merged(parts)]
-                        held = len(parts[0][0])
-                        if held > 900_000:
-                            yield from packed(block, *parts[0])
-                            parts, held = [], 0
-        if parts:
-            yield from packed(block, *_merged(parts))
-
-    return rows.select("block", "text", "train").mapInArrow(run, "block int, part int, gram binary, n binary")
+                    own, weight = (data[inner[lo] : inner[hi]], inner[lo : hi + 1] - inner[lo]), train[first + lo : first + hi]
+                    gram, at = grams(*own)
+                    word, before = words(*own)
+                    parts[0].append(_distinct(gram, np.repeat(weight, np.diff(at))))
+                    parts[1].append(_distinct(np.append(word, 0), np.append(np.repeat(weight, np.diff(before)), weight.sum())))
+                    for kind in (0, 1):
+                        held[kind] += len(parts[kind][-1][0])
+                        if held[kind] > 1_500_000:
+                            parts[kind][:] = [_merged(parts[kind])]
+                            held[kind] = len(parts[kind][0][0])
+                            if held[kind] > 900_000:
+                                yield from packed(kind, block, *parts[kind][0])
+                                parts[kind].clear()
+                                held[kind] = 0
+        yield from close()
+
+    return rows.select("block", "text", "train").mapInArrow(run, "kind int, block long, part int, key binary, n binary")
 
 
 def _pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(np.frombuffer(b"".join(batch[c].to_pylist()), np.int64) for c in ("gram", "n"))
+    return tuple(np.frombuffer(b"".join(batch[c].to_pylist()), np.int64) for c in ("key", "n"))
 
 
 def _low_counts(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -241,7 +264,7 @@ def _sums(key: np.ndarray, n: np.ndarray, mask: int, shift: int) -> tuple[np.nda
 
 
 def _answers(found: DataFrame, low: tuple[np.ndarray, np.ndarray], max_entries: int | None) -> DataFrame:
-    """(block, gram, worth): log10 probabilities of the rows of _grams, as bytes of float64."""
+    """(block, key, worth): log10 probabilities of the grams of _reported(), as bytes of float64."""
     shared = found.sparkSession.sparkContext.broadcast(low)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,50 +288,70 @@ def _answers(found: DataFrame, low: tuple[np.ndarray, np.ndarray], max_entries:
                     continue
                 if model is None:
                     model, parts = _part_model(*_merged(parts), shared.value, max_entries), []
-                texts = some["gram"].to_pylist()
+                texts = some["key"].to_pylist()
                 worth = model.log10(np.frombuffer(b"".join(texts), np.int64))
                 ends = np.cumsum([0] + [len(t) // 8 for t in texts]).tolist()
                 answers = pa.array([worth[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([some["block"], some["gram"], answers], ["block", "gram", "worth"])
+                yield pa.RecordBatch.from_arrays([some["block"], some["key"], answers], ["block", "key", "worth"])
 
-    counts = found.withColumn("asked", F.lit(0)).select("part", "asked", "block", "gram", "n")
-    questions = found.select("part", F.lit(1).alias("asked"), "block", "gram", F.lit(None).cast("binary").alias("n"))
-    both = counts.union(questions).repartition("part").sortWithinPartitions("part", "asked")
-    return both.mapInArrow(run, "block int, gram binary, worth binary")
+    return _counts_and_questions(found).mapInArrow(run, "block long, key binary, worth binary")
 
 
-def _comes_out_the_same(docs: DataFrame) -> bool:
-    """Whether every run gives the same rows in the same partitions: a scan of files with nothing but projections and filters."""
-    plan = docs._jdf.queryExecution().executedPlan().toString()
-    return "FileScan" in plan and not re.search("Exchange|Join|Aggregate|Limit|Sample|InMemoryTable|Window|Union|Coalesce", plan)
+def _counts_and_questions(found: DataFrame) -> DataFrame:
+    """Every row twice, by part: as a count, and after these as a question of its block."""
+    counts = found.withColumn("asked", F.lit(0)).select("part", "asked", "block", "key", "n")
+    questions = found.select("part", F.lit(1).alias("asked"), "block", "key", F.lit(None).cast("binary").alias("n"))
+    return counts.union(questions).repartition("part").sortWithinPartitions("part", "asked")
 
 
-def _words(rows: DataFrame) -> DataFrame:
-    """(block, word, n): the distinct words of each input split, n as often as training texts have them; the empty word is the end."""
+def _word_counts(found: DataFrame) -> DataFrame:
+    """(block, key, worth, tokens, vocabulary): the counts of the words of _reported() as bytes of int64; a row without block per part has its sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, learned, other = None, Counter(), set()
+        part, parts, held, known = None, [], 0, None
+        names = ["block", "key", "worth", "tokens", "vocabulary"]
+        for batch in batches:
+            at, asked = batch["part"].to_numpy(), batch["asked"].to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero((np.diff(at) != 0) | (np.diff(asked) != 0)) + 1, [len(batch)]]).tolist()
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b:
+                    continue
+                if at[a] != part:
+                    part, parts, held, known = at[a], [], 0, None
+                some = batch.slice(a, b - a)
+                if not asked[a]:
+                    parts.append(_pairs(some))
+                    held += len(parts[-1][0])
+                    if held > 2_000_000 and held > 2 * len(parts[0][0]):
+                        parts = [_merged(parts)]
+                        held = len(parts[0][0])
+                    continue
+                if known is None:
+                    keys, n = _merged(parts)
+                    order, parts = np.argsort(keys), []
+                    known = keys[order], n[order]
+                    sums = [pa.array([int(n.sum())], pa.int64()), pa.array([int((n > 0).sum())], pa.int64())]
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), *sums], names)
+                texts = some["key"].to_pylist()
+                counts = known[1][np.searchsorted(known[0], np.frombuffer(b"".join(texts), np.int64))]
+                ends = np.cumsum([0] + [len(t) // 8 for t in texts]).tolist()
+                answers = pa.array([counts[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([some["block"], some["key"], answers, pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64())], names)
 
-        def close() -> Iterator[pa.RecordBatch]:
-            other.difference_update(learned)
-            for words, counts in ((list(learned), list(learned.values())), (list(other), [0] * len(other))):
-                for a in range(0, len(words), 50_000):
-                    part = pa.array(words[a : a + 50_000], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int32()), part, pa.array(counts[a : a + 50_000], pa.int64())], ["block", "word", "n"])
+    return _counts_and_questions(found).mapInArrow(run, "block long, key binary, worth binary, tokens long, vocabulary long")
 
-        for batch in batches:
-            for b, text, train in zip(batch["block"].to_pylist(), batch["text"].to_pylist(), batch["train"].to_pylist(), strict=True):
-                if b != block:
-                    if block is not None:
-                        yield from close()
-                    block, learned, other = b, Counter(), set()
-                found = _WORD.findall(text.encode().lower())
-                found.append(b"")
-                (learned if train else other).update(found)
-        if block is not None:
-            yield from close()
 
-    return rows.select("block", "text", "train").mapInArrow(run, "block int, word binary, n long")
+def _in_files(docs: DataFrame) -> bool:
+    """Whether rows have a lasting place: a scan of Parquet files with nothing but projections and filters."""
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    return "FileScan parquet" in plan and not re.search("Exchange|Join|Aggregate|Limit|Sample|InMemoryTable|Window|Union|Coalesce", plan)
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows with `block`: neighbours in a file, BLOCK_BYTES of text on average."""
+    size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()
+    height = max(1, BLOCK_BYTES * size.n // max(1, size.bytes or 0)) if size.n else 1
+    return rows.withColumn("block", F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / F.lit(height))))
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = 1, max_entries: int | None = None) -> DataFrame:
@@ -317,20 +360,25 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(spark, 400)
     scratch = Scratch(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    if not _comes_out_the_same(rows):
+    if not _in_files(rows):
         rows = scratch.write(rows)
-    rows = rows.withColumn("rest", id_bucket(F.col("doc_id"))).withColumn("train", F.coalesce(F.col("rest") != held_out, F.lit(False)))
-    rows = rows.withColumn("held_out", F.coalesce(F.col("rest") == held_out, F.lit(False))).drop("rest").withColumn("block", F.spark_partition_id())
-    found = scratch.write(_grams(rows))
-    answers = _answers(found, _low_counts(found), max_entries)
-    by_word = Window.partitionBy("word")
-    words = _words(rows).withColumn("c", F.sum("n").over(by_word)).withColumn("nth", F.row_number().over(by_word.orderBy("block")))
-    words = scratch.write(words.select("block", "word", "c", (F.col("nth") == 1).alias("once")))
-    known = words.where("once AND c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    rows = _in_blocks(rows).withColumn("rest", id_bucket(F.col("doc_id"))).withColumn("train", F.coalesce(F.col("rest") != held_out, F.lit(False)))
+    rows = rows.withColumn("held_out", F.coalesce(F.col("rest") == held_out, F.lit(False))).drop("rest")
+    found = scratch.write(_reported(rows), "kind")
+    of_grams = found.where("kind = 0")
+    answers = _answers(of_grams, _low_counts(of_grams), max_entries)
+    counts = scratch.write(_word_counts(found.where("kind = 1")))
+    known = counts.where("block IS NULL").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("vocabulary"), F.lit(0)).alias("v")).first()
     tokens, scale = int(known.n), known.n + 0.5 * (known.v + 1)
 
+    def table(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        keys, worth = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(keys)
+        parts.clear()
+        return keys[order], worth[order]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, worth, unseen, parts, table = None, {}, set(), [], None
+        block, parts, tables = None, ([], []), None
         for batch in batches:
             blocks, kind = batch["block"].to_numpy(), batch["kind"].to_numpy()
             edges = np.concatenate([[0], np.flatnonzero((np.diff(blocks) != 0) | (np.diff(kind) != 0)) + 1, [len(batch)]]).tolist()
@@ -338,40 +386,34 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 if a == b:
                     continue
                 if blocks[a] != block:
-                    block, worth, unseen, parts, table = blocks[a], {}, set(), [], None
+                    block, parts, tables = blocks[a], ([], []), None
                 part = batch.slice(a, b - a)
-                if kind[a] == 0:  # the words and grams of a block come before its documents
-                    c, found = part["c"].to_numpy(), part["word"]
-                    worth.update(zip(found.to_pylist(), _LOG((c + 0.5) / scale).tolist(), strict=True))
-                    unseen.update(found.filter(pa.array(c == 0)).to_pylist())
+                if kind[a] < 2:  # the grams and words of a block come before its documents
+                    parts[kind[a]].append(tuple(np.frombuffer(b"".join(part[c].to_pylist()), t) for c, t in (("key", np.int64), ("worth", (np.float64, np.int64)[kind[a]]))))
                     continue
-                if kind[a] == 1:
-                    parts.append(tuple(np.frombuffer(b"".join(part[c].to_pylist()), t) for c, t in (("gram", np.int64), ("worth", np.float64))))
-                    continue
-                if table is None:
-                    keys, answer = (np.concatenate(x) for x in zip(*parts, strict=True))
-                    order, parts = np.argsort(keys), []
-                    table = keys[order], answer[order]
-                    del keys, answer, order
-                base, sizes, known_here = [], [], []
-                for text in part["text"].to_pylist():
-                    found = _WORD.findall(text.encode().lower())
-                    found.append(b"")
-                    base.append(sum(map(worth.__getitem__, found)))
-                    sizes.append(len(found))
-                    known_here.append(len(found) - sum(map(unseen.__contains__, found)))
+                if tables is None:
+                    tables = [table(p) for p in parts]
                 data, offsets = text_bytes(part["text"])
-                scores = [np.zeros(0)]
+                base, sizes, known_here, scores = ([np.zeros(0)] for _ in range(4))
                 for lo, hi in chunks(offsets):
-                    gram, at = grams(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                    own = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                    gram, at = grams(*own)
                     code, distinct = pd.factorize(gram)
-                    scores.append(np.add.reduceat(table[1][np.searchsorted(table[0], distinct)][code], at[:-1]))
-                columns = [pa.array(x, pa.int64()) for x in (sizes, known_here, [tokens] * len(sizes))]
-                columns += [pa.array(base, pa.float64()), pa.array(np.concatenate(scores))]
+                    scores.append(np.add.reduceat(tables[0][1][np.searchsorted(tables[0][0], distinct)][code], at[:-1]))
+                    word, before = words(*own)
+                    code, distinct = pd.factorize(np.append(word, 0))
+                    c = tables[1][1][np.searchsorted(tables[1][0], distinct)]
+                    value, seen = _LOG((c + 0.5) / scale)[code], (c > 0)[code]
+                    owner = np.repeat(np.arange(hi - lo), np.diff(before))
+                    base.append(np.bincount(owner, weights=value[:-1], minlength=hi - lo) + value[-1])
+                    known_here.append(np.bincount(owner, weights=seen[:-1], minlength=hi - lo) + seen[-1])
+                    sizes.append(np.diff(before) + 1)
+                columns = [pa.array(np.concatenate(x).astype(np.int64)) for x in (sizes, known_here)] + [pa.array([tokens] * len(part), pa.int64())]
+                columns += [pa.array(np.concatenate(x)) for x in (base, scores)]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["held_out"], *columns], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    empty = {"word": "binary", "c": "long", "gram": "binary", "worth": "binary", "doc_id": "long", "held_out": "boolean", "text": "string"}
+    empty = {"key": "binary", "worth": "binary", "doc_id": "long", "held_out": "boolean", "text": "string"}
     order = ["block", "kind", *empty]
     add = lambda df, kind: df.withColumn("kind", F.lit(kind)).withColumns({c: F.lit(None).cast(t) for c, t in empty.items() if c not in df.columns}).select(order)
-    both = add(words.drop("once"), 0).union(add(answers, 1)).union(add(rows.drop("train"), 2)).repartition("block").sortWithinPartitions("block", "kind")
+    both = add(answers, 0).union(add(counts.where("block IS NOT NULL"), 1)).union(add(rows.drop("train"), 2)).repartition("block").sortWithinPartitions("block", "kind")
     return both.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
