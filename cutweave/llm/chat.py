@@ -10,7 +10,8 @@ text with its ``<|im_end|>``. A literal ``<|`` in texts or names is broken as ``
 
 Order: by turn, then speaker, then text, nulls first; equal rows stay apart. A null text is empty; a turn without a speaker is
 rendered for others as user ``unknown`` and gives no perspective; turns with a null dialogue id make up one dialogue. A dialogue
-without participants, like an empty table, gives no rows. Only the four columns named are read.
+without participants, like an empty table, gives no rows. Texts may be of any length that Spark can hold in a string (2 GB): a row is one turn.
+Only the four columns named are read.
 """
 
 from __future__ import annotations

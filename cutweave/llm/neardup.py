@@ -15,7 +15,8 @@ With BANDS x ROWS samples a pair with similarity s shares no band with probabili
 
 Words are runs of anything but ASCII white space, A-Z in lower case. A text with one to four words has its whole sequence as the
 only shingle; a text without words (or null) has none and is linked with nothing. Rows with a null id link with nothing and keep a
-null component. Repeated rows share a component. An empty table gives an empty result; extra columns are ignored.
+null component. Ties: a similarity equal to the bound links. Repeated rows share a component. Texts of any length are taken whole (a single one in
+one step, with some 60 bytes of memory for each of its bytes). An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

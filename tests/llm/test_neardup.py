@@ -129,3 +129,18 @@ def test_components(spark):
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long"), Scratch(spark)).collect()}
     touched = {x for e in edges for x in e if e[0] != e[1]}
     assert got == {x: want[x] for x in touched}
+
+
+def test_recall_at_the_bound(spark):
+    """Pairs with a similarity of exactly 0.8 (40 of 50 shingles shared) are the least likely to share a band; all must be found."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(3000):
+        words = [f"v{rng.randint(0, 10**9)}" for _ in range(49)]
+        other = list(words)
+        other[24] = "changed"
+        assert k or len(shingles(" ".join(words)) & shingles(" ".join(other))) * 50 == 40 * len(shingles(" ".join(words)) | shingles(" ".join(other)))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    df = spark.createDataFrame([(*r, "", 1) for r in rows], SCHEMA)
+    got = {r.doc_id: r.component_id for r in near_duplicates(df, percent=80).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
