@@ -9,9 +9,13 @@ Runs of candidates that follow one another directly are one segment; pointer jum
 each file, keeps the candidates that the chain reaches. Magic lines inside payloads are not on the chain; their pieces
 are put back into the record that they belong to. Offsets are sums in two steps: inside a split, then over a file's splits.
 
+How files are cut into splits depends on the executors of the moment. What one scan finds (no payloads, but the digest of each piece) is
+therefore written before anything is made of it, and the bytes of the few pieces that must be put together come from a second scan by their
+digests, not by their places in splits.
+
 Nulls and odd cases: a null html is an empty payload; a null url leaves the header out; line breaks in urls become blanks; pages
-that share the largest id are all responses, and so are pages without an id where no equal page has one. An empty table
-gives an archive without records. Only the three columns named are read.
+that share the largest id (ties, repeated rows) are all responses, and so are pages without an id where no equal page has one. Texts may be
+of any length that Spark can hold in a string (2 GB). An empty table gives an archive without records. Only the three columns named are read.
 """
 
 from __future__ import annotations
@@ -86,8 +90,8 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("nth", F.monotonically_increasing_id())
 
 
-def candidates(raw: DataFrame) -> DataFrame:
-    """A row per piece: file, offset, successor, parsed header and digest of its payload; no payloads."""
+def candidates(raw: DataFrame, scratch: Scratch) -> DataFrame:
+    """A row per piece: file, offset, successor, parsed header, digests of the piece and of its payload; no payloads."""
     raw = raw.withColumn("bytes", F.octet_length("value").cast("long"))
     raw = raw.withColumn("has_header", F.locate("\r\n\r\n", F.col("value")) > 0)
     raw = raw.withColumn("header", F.when(F.col("has_header"), F.substring_index("value", "\r\n\r\n", 1)))
@@ -110,7 +114,9 @@ def candidates(raw: DataFrame) -> DataFrame:
         _header("X-Refers-To-Page-ID").try_cast("long").alias("refers_to"),
         F.regexp_replace(_header("WARC-Payload-Digest"), "^sha1:", "").alias("stated"),
         F.when(F.col("whole"), F.sha1(body)).alias("digest"),
+        F.sha1(F.col("value").cast("binary")).alias("piece"),
     )
+    raw = scratch.write(raw)
     in_split = Window.partitionBy("file", "split").orderBy("nth")
     step = F.col("bytes") + len(MAGIC)
     raw = raw.withColumn("local", F.sum(step).over(in_split) - step).withColumn("first", F.row_number().over(in_split) == 1)
@@ -157,7 +163,7 @@ def read_warc(spark: SparkSession, path: str, scratch: Scratch | None = None) ->
     """page_id, url, type, refers_to, stated (digest in the header), digest and n_bytes of the record's own block, file, at."""
     scratch = scratch or Scratch(spark)
     raw = pieces(spark, path)
-    rows = chain(candidates(raw), scratch)
+    rows = chain(candidates(raw, scratch), scratch)
     fields = ["file", "at", "page_id", "url", "type", "refers_to", "stated"]
     whole = rows.where("valid AND whole").select(*fields, "digest", F.col("content").alias("n_bytes"))
     # records whose payload holds a magic line: all pieces up to the successor belong to the record
@@ -168,7 +174,10 @@ def read_warc(spark: SparkSession, path: str, scratch: Scratch | None = None) ->
     broken = scratch.write(broken)
     if broken.isEmpty():
         return whole
-    bytes_of = raw.join(broken.select("file", "split", "nth", "at", "owner"), ["file", "split", "nth"])
+    wanted = broken.select("bytes", "piece").distinct()
+    again = raw.select("value", F.octet_length("value").cast("long").alias("bytes")).join(wanted.select("bytes").distinct(), "bytes", "left_semi")
+    again = again.withColumn("piece", F.sha1(F.col("value").cast("binary"))).join(wanted, ["bytes", "piece"], "left_semi").dropDuplicates(["bytes", "piece"])
+    bytes_of = broken.select("file", "at", "owner", "bytes", "piece").join(again, ["bytes", "piece"])
     bytes_of = bytes_of.select("file", "owner", F.struct("at", F.hex(F.col("value").cast("binary")).alias("p")).alias("piece"))
     joined = bytes_of.groupBy(F.col("file").alias("in_file"), F.col("owner").alias("start")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("piece")), lambda x: x["p"]), MAGIC.encode().hex().upper()).alias("p")
