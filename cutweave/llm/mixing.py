@@ -8,8 +8,10 @@ taken differ from the target by about the largest document of the source at most
 The position of a document is the sum of three bounded parts, so that no window holds a whole source: documents of smaller
 sizes (one row per distinct size), smaller hash buckets of the same size (at most BUCKETS rows), smaller hashes in the bucket.
 
-Nulls: a null text has size 0, a null source is a source of its own that comes last, a null id hashes as "". Repeated rows are
-documents of their own. An empty table gives an empty result. Only the columns named are read; others may be carried along.
+Nulls: a null text has size 0, a null source is a source of its own that comes last, a document without id hashes by its text.
+Ties: documents of equal size and id lie by the digest of their text; rows equal in all that are next to each other in any order, which makes no
+difference. Repeated rows are documents of their own. Texts of any length are counted whole. An empty table gives an empty result. Only the
+columns named are read; others may be carried along.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, Scratch
 
 BUCKETS = 1024
 
@@ -62,15 +64,18 @@ def systematic_mix(
 ) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, copies, taken, and `carry` as a struct `kept`."""
     src, src_null = F.coalesce(F.col(source_col).cast("string"), F.lit("")), F.col(source_col).isNull()
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("/"), F.coalesce(F.col(text_col), F.lit(""))))
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         src.alias("src"),
         src_null.alias("src_null"),
         word_count(F.col(text_col)).alias("size"),
-        digest.alias("hash"),
+        F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary")).alias("hash"),
+        F.xxhash64(F.col(text_col)).alias("tie"),
         *([F.struct(*[F.col(c) for c in carry]).alias("kept")] if carry else []),
     ).withColumn("bucket", (F.conv(F.substring("hash", 1, 4), 16, 10).cast("int") % BUCKETS))
+    if not carry:
+        rows = Scratch(docs.sparkSession).write(rows)  # texts are read once, what follows reads some 60 bytes a document
     by_bucket = rows.groupBy("src", "src_null", "size", "bucket").agg(F.count("*").alias("n"))
     by_size = by_bucket.groupBy("src", "src_null", "size").agg(F.sum("n").alias("n"))
     by_source = by_size.groupBy("src", "src_null").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
@@ -80,7 +85,7 @@ def systematic_mix(
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), "src", F.col("src_null").cast("string")).cast("binary")), 1, 4), 16, 10).cast("double") / F.lit(65536.0)
     place = earlier.join(smaller, ["src", "src_null", "size"]).join(targets(by_source, weights, share, cap), ["src", "src_null"])
     place = place.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))).withColumn("offset", offset)
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("src", "src_null", "size", "bucket").orderBy("hash", "doc_id")))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("src", "src_null", "size", "bucket").orderBy("hash", "doc_id", "tie")))
     at = F.col("smaller") + F.col("earlier") + F.col("rank")
     crossed = F.floor(F.col("rate") * at + F.col("offset")) - F.floor(F.col("rate") * (at - 1) + F.col("offset"))
     out = ranked.join(place, ["src", "src_null", "size", "bucket"]).withColumn("copies", crossed.cast("long"))
@@ -93,7 +98,7 @@ MIX_SQL = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(source, '') AS src, source IS NULL AS src_null,
          CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size,
-         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hash
+         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '/' || coalesce(text, ''))) AS hash
   FROM documents),
 s AS (SELECT src, src_null, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY src, src_null),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY src_null, src) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w FROM s),

@@ -70,3 +70,18 @@ def test_empty_and_wordless(spark):
 def test_carries_columns(spark):
     got = systematic_mix(make([(1, "a b", "s")], spark), carry=["text", "size"]).collect()[0]
     assert got.kept.text == "a b" and got.kept["size"] == "clash"
+
+
+def test_reruns_agree_for_null_and_equal_ids(spark):
+    rows = [(i if k else None, f"{w} {k}", "a") for i in range(1, 40) for k, w in enumerate(("one", "two", "three"))]
+    texts = lambda df: sorted(r.kept.text for r in systematic_mix(df, carry=["text"]).where("copies > 1").collect())
+    first = texts(make(rows, spark))
+    assert 0 < len(first) < len(rows)
+    assert all(texts(make(rows[::step], spark).repartition(parts)) == first for step, parts in ((1, 7), (-1, 3)))
+
+
+def test_rows_without_id_are_spread(spark):
+    """Rows without id and of one size lie in many buckets, as they hash by their texts."""
+    rows = [(None, f"w{i}", "a") for i in range(3000)]
+    got = systematic_mix(make(rows, spark)).collect()
+    assert len(got) == 3000 and abs(sum(r.taken for r in got) - 4500) <= 2
