@@ -1,9 +1,10 @@
 """Exact top-k search by inner product: dual-tree search over cover trees.
 
 Components x become floor(scale * x). Pivots (a bounded sample) are the top of one tree over queries and data: every row lies in the cell of its
-nearest pivot, large cells are cut into blocks, and a block is known by its pivot and covering radius. For a query group
-around q with radius a and a data block around p with radius b no inner product exceeds <q, p> + a|p| + b|q| + ab. First each group
-searches the most promising block; then all blocks whose bound reaches the group's worst k-th score so far are searched.
+nearest pivot, which has a covering radius, and large cells are cut into blocks. For a query group
+around q with radius a and a data cell around p with radius b no inner product exceeds <q, p> + a|p| + b|q| + ab. First each group
+searches a block of the most promising cell; then the blocks of all cells whose bound reaches the group's worst k-th score so far are
+searched. Bounds are worked out per group and cell (MAX_PIVOTS at most); only cells that are reached are ever paired with a group.
 
 Inside a task both sides get a cover tree: a node's centre is also the centre of one of its children, the other centres are picked
 farthest first, so centres are at least as far apart as the radius that covers the rest, and every node keeps its true covering
@@ -13,7 +14,8 @@ the query node (an equal bound is followed, as ties go to smaller ids). Leaves a
 Results do not depend on pivots, blocks or trees. Of equal vectors in a block only those with the k + 1 smallest ids can be in a result.
 A vector that is null, empty or holds null or non-finite components takes no part, nor does a row without id. Vectors of different
 lengths are not compared. A query's own row is any with its id. Repeated query rows are answered once; repeated candidates count each.
-Scores are exact while they fit in 64 bits. A query with fewer than k candidates gets all of them. Extra columns are ignored.
+Scores are exact while they fit in 64 bits. A query with fewer than k candidates gets all of them; an empty table gives an empty result.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -195,27 +197,31 @@ def _placed(rows: DataFrame, pivots, per: int) -> DataFrame:
     counts = F.broadcast(counts)  # a row per length of vectors
     out = rows.join(counts, "dim").select("vec_id", "dim", "v", "cells").mapInArrow(run, "vec_id long, dim int, v binary, cell int, far double")
     cells = out.groupBy("dim", "cell").agg(F.ceil(F.count("*") / per).cast("int").alias("blocks"))
-    return out.join(cells, ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
+    return out.join(cells, ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")).cast("int")).drop("blocks")
 
 
-def _pairs(groups: DataFrame, blocks: DataFrame, pivots) -> DataFrame:
-    """Every query group with every block of its length, and the bound of their inner products; groups and blocks only, never rows."""
+def _reached(groups: DataFrame, pivots, radii) -> DataFrame:
+    """Query groups with the data cells that they search: those whose bound reaches the group's `worst`; where it is null, the most promising one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bound = np.empty(len(batch))
-            dims, a, b = (batch[c].to_numpy() for c in ("dim", "q_cell", "cell"))
+            row, cell = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            dims, own, far, worst = (batch[c].to_numpy(zero_copy_only=False) for c in ("dim", "q_cell", "q_far", "worst"))
             for dim in np.unique(dims).tolist():
                 at, p = np.flatnonzero(dims == dim), pivots.value[dim].astype(float)
-                norm = np.sqrt((p**2).sum(1))
-                x, y, r, s = a[at], b[at], batch["q_far"].to_numpy()[at], batch["far"].to_numpy()[at]
-                bound[at] = (p[x] * p[y]).sum(1) + r * norm[y] + s * norm[x] + r * s
-            bound += 1e-9 * np.abs(bound) + 1e-3
-            yield pa.RecordBatch.from_arrays([*[batch[c] for c in keys], pa.array(bound)], [*keys, "bound"])
+                some = np.flatnonzero(radii.value[dim] >= 0)
+                norm, r, s = np.sqrt((p**2).sum(1)), far[at][:, None], radii.value[dim][some]
+                bound = p[own[at]] @ p[some].T + r * norm[some] + norm[own[at]][:, None] * s + r * s
+                bound += 1e-9 * np.abs(bound) + 1e-3
+                go = np.where(np.isnan(worst[at])[:, None], np.arange(len(some)) == bound.argmax(1)[:, None], bound >= worst[at][:, None])
+                i, j = np.nonzero(go)
+                row.append(at[i])
+                cell.append(some[j])
+            taken = batch.select(keys).take(pa.array(np.concatenate(row)))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.concatenate(cell).astype(np.int32))], [*keys, "cell"])
 
-    keys = ["dim", "q_cell", "q_block", "cell", "block"]
-    both = groups.join(blocks, "dim").select(*keys, "q_far", "far")
-    return both.mapInArrow(run, "dim int, q_cell int, q_block int, cell int, block int, bound double")
+    keys = ["dim", "q_cell", "q_block"]
+    return groups.select(*keys, "q_far", F.col("worst").cast("double")).mapInArrow(run, "dim int, q_cell int, q_block int, cell int")
 
 
 def _searched(pairs: DataFrame, queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
@@ -262,20 +268,23 @@ def exact_top_k(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vecto
     placed = scratch.write(_placed(data, pivots, BLOCK))
     queries = _placed(asked, pivots, QUERIES).withColumnsRenamed({"cell": "q_cell", "block": "q_block", "far": "q_far"})
     queries = scratch.write(queries.withColumn("query", F.xxhash64("vec_id", "v")))
-    groups = queries.groupBy("dim", "q_cell", "q_block").agg(F.max("q_far").alias("q_far"))
-    blocks = placed.groupBy("dim", "cell", "block").agg(F.max("far").alias("far"))
-    pairs = scratch.write(_pairs(groups, blocks, pivots))
-    w = Window.partitionBy("dim", "q_cell", "q_block").orderBy(F.desc("bound"), "cell", "block")
-    first = pairs.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth", "bound")
+    keys = ["dim", "q_cell", "q_block"]
+    groups = queries.groupBy(*keys).agg(F.max("q_far").alias("q_far"))
+    blocks = scratch.write(placed.groupBy("dim", "cell", "block").agg(F.max("far").alias("far")))
+    radii = {dim: np.full(len(p), -1.0) for dim, p in pivots.value.items()}
+    for x in blocks.groupBy("dim", "cell").agg(F.max("far").alias("far")).collect():  # a row per pivot
+        radii[x.dim][x.cell] = x.far
+    radii = spark.sparkContext.broadcast(radii)
+    best_cell = _reached(groups.withColumn("worst", F.lit(None)), pivots, radii)
+    first = scratch.write(best_cell.join(blocks.groupBy("dim", "cell").agg(F.min("block").alias("block")), ["dim", "cell"]))
     lowest = float(-(2**62))
     seeds = scratch.write(_searched(first, queries.withColumn("floor", F.lit(lowest)), placed, k))
     kth = seeds.groupBy("query_id", F.col("query").alias("which")).agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("kth"))
     queries = queries.join(kth, (F.col("vec_id") == F.col("query_id")) & (F.col("query") == F.col("which")), "left")
     queries = queries.withColumn("floor", F.coalesce("kth", F.lit(lowest))).drop("query_id", "which", "kth")
     queries = scratch.write(queries)
-    worst = queries.groupBy("dim", "q_cell", "q_block").agg(F.min("floor").alias("worst"))
-    keys = ["dim", "q_cell", "q_block"]
-    rest = pairs.join(first, [*keys, "cell", "block"], "left_anti").join(worst, keys).where("bound >= worst").drop("bound", "worst")
+    groups = queries.groupBy(*keys).agg(F.max("q_far").alias("q_far"), F.min("floor").alias("worst"))
+    rest = _reached(groups, pivots, radii).join(blocks.drop("far"), ["dim", "cell"]).join(first, [*keys, "cell", "block"], "left_anti")
     found = seeds.union(_searched(rest, queries, placed, k))
     best = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
