@@ -155,15 +155,24 @@ def _block_join(own, other, least: float) -> Iterator[pa.RecordBatch]:
     """Rows (kind, a, b): 0: own class a has b links here; 1: an edge of a spanning forest of the links."""
     (a_ids, a), (b_ids, b, b_n) = own, other
     links, left, right = np.zeros(len(a_ids), np.int64), [], []
+    weight = b_n.astype(float)
     for lo in range(0, len(a_ids), 256):
-        close = a[lo : lo + 256] @ b.T >= least
-        links[lo : lo + 256] = close @ b_n
-        i, j = np.nonzero(close)
-        apart = a_ids[lo + i] != b_ids[j]
-        left.append(a_ids[lo + i[apart]])
-        right.append(b_ids[j[apart]])
+        close = (a[lo : lo + 256] @ b.T >= least).astype(float)
+        links[lo : lo + 256] = close @ weight
+        # as few links as keep together what is: each column with its first row, and each row with the first rows of its columns
+        some = np.flatnonzero(close.any(0))
+        first = close[:, some].argmax(0)
+        left.append(a_ids[lo + first])
+        right.append(b_ids[some])
+        of = np.zeros((len(some), len(close)))
+        of[np.arange(len(some)), first] = 1
+        i, j = np.nonzero(close[:, some] @ of)
+        left.append(a_ids[lo + i])
+        right.append(a_ids[lo + j])
     yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(links), np.int32)), pa.array(a_ids), pa.array(links)], ["kind", "a", "b"])
     left, right = np.concatenate(left), np.concatenate(right)
+    apart = left != right
+    left, right = left[apart], right[apart]
     if len(left):
         nodes, code = np.unique(np.concatenate([left, right]), return_inverse=True)
         u, v = code[: len(left)], code[len(left) :]
