@@ -55,23 +55,28 @@ def two_bonds(labels: DataFrame, m: int) -> DataFrame:
     if m > 1:
         pairs = rest.join(rest.select("g", "label", F.col("id").alias("other")), ["g", "label"]).where("id < other")
         out.append(pairs.select("g", "base", F.array("id", "other").alias("edges"), F.array("label", "label").alias("labels")))
-    classes = rest.select("g", "base", "block", "label").distinct()
-    halves = {1: classes.select("g", "base", "block", F.array("label").alias("labels"), F.col("label").alias("x"))}
+    if m < 3:
+        return reduce(DataFrame.union, out)
+    classes = rest.groupBy("g", "base", "block", "label").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    alone = classes.where("n > 1").isEmpty()  # every label has one edge: edges need not be put in at the end
+    halves = {1: classes.select("g", "base", "block", F.array("label").alias("labels"), F.array("id").alias("edges"), F.col("label").alias("x"))}
     for size in range(3, m + 1):
         for half in ((size + 1) // 2, size // 2):
             if half not in halves:  # in order of label
-                step = classes.select("g", "block", "label")
+                step = classes.select("g", "block", "label", "id")
                 wider = halves[half - 1].join(step, ["g", "block"]).where(F.element_at("labels", -1) < F.col("label"))
-                halves[half] = wider.select("g", "base", "block", F.concat("labels", F.array("label")).alias("labels"), F.col("x").bitwiseXOR(F.col("label")).alias("x"))
+                both = F.concat("labels", F.array("label")).alias("labels"), F.concat("edges", F.array("id")).alias("edges")
+                halves[half] = wider.select("g", "base", "block", *both, F.col("x").bitwiseXOR(F.col("label")).alias("x"))
         # every set is met once: the larger half has the smaller labels
-        right = halves[size // 2].select("g", "block", "x", F.col("labels").alias("more"))
+        right = halves[size // 2].select("g", "block", "x", F.col("labels").alias("more"), F.col("edges").alias("other"))
         found = halves[(size + 1) // 2].join(right, ["g", "block", "x"]).where(F.element_at("labels", -1) < F.get("more", 0))
-        found = found.select("g", "base", F.concat("labels", "more").alias("labels"), F.array().cast("array<int>").alias("edges"))
+        found = found.select("g", "base", F.concat("labels", "more").alias("labels"), F.concat("edges", "other").alias("edges"))
         if size > 5:  # distinct labels with XOR 0 that are fewer have no smaller set with XOR 0
             found = found.where(_minimal(F.col("labels")))
-        members = rest.select("g", F.col("label").alias("of"), "id")
-        for i in range(size):
-            found = found.withColumn("of", F.get("labels", i)).join(members, ["g", "of"]).withColumn("edges", F.concat("edges", F.array("id"))).drop("of", "id")
+        if not alone:
+            members, found = rest.select("g", F.col("label").alias("of"), "id"), found.withColumn("edges", F.array().cast("array<int>"))
+            for i in range(size):
+                found = found.withColumn("of", F.get("labels", i)).join(members, ["g", "of"]).withColumn("edges", F.concat("edges", F.array("id"))).drop("of", "id")
         out.append(found.select("g", "base", *_in_order(F.col("edges"), F.col("labels"))))
     return reduce(DataFrame.union, out)
 
