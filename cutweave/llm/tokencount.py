@@ -2,7 +2,8 @@
 
 The vocabulary trie gets failure links: link(v) is the node of what is left of v's string once the greedy tokens that can no
 longer grow are popped, and popped(v) is their number, computed beforehand. A word is read byte by byte; where the trie has no
-edge, the automaton adds popped(v) and follows the link, so a word of n bytes takes O(n) steps. The words of a batch advance together.
+edge, the automaton adds popped(v) and follows the link, so a word of n bytes takes O(n) steps. The words of a batch advance together; the last
+few, if they are very long, go on one by one.
 
 Words are runs of anything but ASCII white space; each is read with the white-space marker before it. A word with a character
 that the vocabulary lacks is one unknown token, as word-piece tokenizers have it. Words may be of any length.
@@ -22,9 +23,13 @@ from .common import chunks, small_batches, text_bytes, word_spans
 from .vocab import DEFAULT_MODEL, DoubleArray, load_pieces
 
 
+#: Words that go on together as long as more than FEW of them last; beyond LONG bytes fewer go on one by one.
+FEW, LONG = 16, 128
+
+
 class Counter:
     def __init__(self, trie: DoubleArray):
-        self.base, self.check = trie.base, trie.check
+        self.base, self.check, self.lists = trie.base, trie.check, None
         n = len(trie.base)
         self.link, self.popped = np.full(n, -1, np.int32), np.zeros(n, np.int32)
         for v in trie.order[1:]:
@@ -47,6 +52,10 @@ class Counter:
         lasting = len(order)
         for i in range(-len(marker), int(length[0]) if len(order) else 0):
             lasting = int(np.searchsorted(-length[:lasting], -i, "left")) if i >= 0 else lasting
+            if i >= LONG and lasting <= FEW:
+                for k in range(lasting):
+                    state[k], total[k] = self._alone(int(state[k]), int(total[k]), data[begin[k] + i : begin[k] + length[k]].tobytes())
+                break
             c = data[begin[:lasting] + i].astype(np.int32) if i >= 0 else np.full(lasting, marker[i], np.int32)
             self._advance(state, total, c)
         self._finish(state, total)
@@ -67,6 +76,20 @@ class Counter:
             state[todo] = self.link[v]
             todo = todo[state[todo] >= 0]
 
+    def _alone(self, state: int, total: int, text: bytes) -> tuple[int, int]:
+        """Reads the rest of one word; a state of -1 is an unknown word."""
+        if self.lists is None:
+            self.lists = [a.tolist() for a in (self.base, self.check, self.link, self.popped)]
+        base, check, link, popped = self.lists
+        for c in text:
+            while state >= 0 and check[base[state] + c] != state:
+                total += popped[state]
+                state = link[state]
+            if state < 0:
+                break
+            state = base[state] + c
+        return state, total
+
     def _finish(self, state: np.ndarray, total: np.ndarray) -> None:
         todo = np.flatnonzero(state > 0)
         while len(todo):

@@ -32,6 +32,15 @@ def test_random_vocabularies():
         assert count(counter, words) == [greedy(b" " + w, vocabulary) for w in words]
 
 
+def test_long_words_go_on_alone():
+    rng = random.Random(2)
+    for _ in range(30):
+        vocabulary = {bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(2, 14))} | {b" "} | {b"a", b"b"} & {rng.choice([b"a", b"c"]), b"b"}
+        counter = Counter(DoubleArray((w, i) for i, w in enumerate(sorted(vocabulary))))
+        words = [bytes(rng.choice(b"ab") for _ in range(rng.choice([3, 100, 128, 129, 700]))) for _ in range(20)]
+        assert count(counter, words) == [greedy(b" " + w, vocabulary) for w in words]
+
+
 def test_production_vocabulary(spark):
     pieces = load_pieces()
     vocabulary = {pieces.text[i] for i in np.flatnonzero(pieces.normal)}
