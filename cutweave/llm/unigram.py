@@ -12,13 +12,15 @@ Words longer than LONG bytes are segmented one by one, in time linear in their l
 Decoding concatenates pieces and bytes, turns markers into blanks, drops the first blank, and replaces each byte that is not part of
 valid UTF-8. It gives the text back exactly, but that U+2581, the marker itself, comes back as a blank.
 
-A null text gives null ids, an empty text no ids; null ids decode to null. Special pieces are never matched in texts and decode to
+A null text gives null ids, an empty text no ids; null ids decode to null; an empty table gives an empty result. Special pieces are never matched in texts and decode to
 nothing. Repeated rows are encoded each. Other columns come along only in `carry`, as a struct that cannot clash.
 """
 
 from __future__ import annotations
 
 import codecs
+import math
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -50,7 +52,7 @@ class Segmenter:
         self.breaks = np.zeros(256, bool)
         for c in b"\n\r\t":
             self.breaks[c] = not any(c in t for t in used)
-        self.longest = max(map(len, used))
+        self.longest, self.lists = max(map(len, used)), None
 
     def spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the words of texts, and the number of words before each text."""
@@ -166,35 +168,39 @@ class Segmenter:
         return (*(np.concatenate(x) for x in zip(*out, strict=True)), best[node[:-1] + size])
 
     def _alone(self, text: bytes):
-        base, check, value, score = self.base, self.check, self.value, self.score
-        n = len(text)
-        best, back = [-np.inf] * (n + 1), [(0, 0)] * (n + 1)
+        if self.lists is None:
+            self.lists = [a.tolist() for a in (self.base, self.check, self.value, self.score)]
+        base, check, value, score = self.lists
+        n, lost = len(text), score[self.unknown]
+        best, width, piece = array("d", [-math.inf]) * (n + 1), array("i", [0]) * (n + 1), array("i", [0]) * (n + 1)
         best[0] = 0.0
         for i in range(n):
-            if best[i] == -np.inf:
+            so_far = best[i]
+            if so_far == -math.inf:
                 continue
             lead = text[i]
-            width = min(1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0), n - i)
-            v, covered = 0, False
-            for j in range(i, min(n, i + self.longest)):
-                t = int(base[v]) + text[j]
-                if check[t] != v:
+            size = min(1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0), n - i)
+            v, j, covered = 0, i, False
+            while j < n:
+                to = base[v] + text[j]
+                if check[to] != v:
                     break
-                v = t
-                if value[v] >= 0:
-                    covered |= j + 1 - i == width
-                    total = best[i] + score[value[v]]
-                    if total > best[j + 1]:
-                        best[j + 1], back[j + 1] = total, (j + 1 - i, int(value[v]))
-            if not covered and best[i] + score[self.unknown] > best[i + width]:
-                best[i + width], back[i + width] = best[i] + score[self.unknown], (width, self.unknown)
-        found, at = [], n
+                v, j = to, j + 1
+                p = value[v]
+                if p >= 0:
+                    covered |= j - i == size
+                    total = so_far + score[p]
+                    if total > best[j]:
+                        best[j], width[j], piece[j] = total, j - i, p
+            if not covered and so_far + lost > best[i + size]:
+                best[i + size], width[i + size], piece[i + size] = so_far + lost, size, self.unknown
+        ends, at = [], n
         while at:
-            w, p = back[at]
-            at -= w
-            found.append((at, p, w))
-        place, piece, width = (np.array(x, np.int64) for x in zip(*found[::-1], strict=True))
-        return place, piece, width, best[n]
+            ends.append(at)
+            at -= width[at]
+        ends = np.array(ends[::-1], np.int64)
+        size = np.frombuffer(width, np.int32)[ends].astype(np.int64)
+        return ends - size, np.frombuffer(piece, np.int32)[ends].astype(np.int64), size, best[n]
 
 
 class Joiner:
@@ -242,9 +248,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 ids.append(i)
                 ends.append(at[1:] + ends[-1][-1])
                 scores_.append(s)
-            null = texts.is_null()
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(ids)))
-            lists = lists if not texts.null_count else pa.array([None if x else y for x, y in zip(null.to_pylist(), lists.to_pylist(), strict=True)], lists.type)
+            null = texts.is_null() if texts.null_count else None
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(ids)), mask=null)
             yield pa.RecordBatch.from_arrays([batch["_id"], lists, pa.array(np.concatenate(scores_)), *([batch["kept"]] if carry else [])], out.names)
 
     kept = [rows.schema["kept"]] if carry else []
